@@ -4,8 +4,10 @@ Two bigram models, of toxic and of ordinary text, share their backoff: below a
 class's bigrams lie its unigrams, and below these the continuation counts of
 both classes together, so an expression that is rare in either class is smoothed
 by what all text says of it.  A document is compared by log-likelihood a token:
-over the whole text, and over its most telling tokens.  A logistic curve, fitted
-on labelled rows that the counts don't hold, turns both into a score.
+over the whole text, and over its most telling tokens.  A token's ratio counts for as much as
+there are documents behind it.  A logistic curve, fitted on labelled rows that
+the counts don't hold, turns both into a score.  Counts are of documents, and of
+rows with equal texts one is counted, so copies prove nothing.
 
 The models come from a bounded sample of labelled rows: of each class the
 `sample` rows whose hashed ids are least.  They are broadcast; what is broadcast
@@ -19,6 +21,7 @@ score is the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Ids, crc_mod, lower_words, map_rows, materialise
+from graphloom.llm.common import Ids, crc_mod, map_rows, materialise
 
 #: Labelled rows a class that the models may learn from.
 SAMPLE = 8_000
@@ -36,12 +39,20 @@ LEAST = 2
 DISCOUNT = 0.75
 #: Tokens of a text that count as its most telling.
 PEAKS = 3
+#: Documents at which half of a ratio is believed.
+HALF = 4.0
+WORDS = re.compile(r"\w+")
 #: A row whose id's crc32 is 0 modulo this is held out.
 FOLDS = 5
 
 
-def word_hashes(unique: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, unique), np.uint64, len(unique))
+def tokens(text: str | None) -> list[str]:
+    """Lower-case words without punctuation."""
+    return WORDS.findall((text or "").lower())
+
+
+def word_hashes(unique: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in unique), np.uint64, len(unique))
 
 
 class Model(NamedTuple):
@@ -49,6 +60,7 @@ class Model(NamedTuple):
 
     words: np.ndarray
     unigram: np.ndarray  # P_c(w), a row for each word and one for unknown words
+    support: np.ndarray  # n / (n + HALF) of the documents with the word
     total: np.ndarray  # n_c(v .)
     types: np.ndarray  # T_c(v .)
     pairs: np.ndarray
@@ -69,8 +81,11 @@ class Model(NamedTuple):
             same = self.pairs[spot] == key
             hit[both[same]] = self.seen[spot[same]]
         p = (np.maximum(hit - DISCOUNT, 0) + DISCOUNT * t * lower) / np.maximum(n, 1)
-        p = np.log(np.where(n > 0, p, lower))
-        return p[:, 1] - p[:, 0]
+        upper = np.log(np.where(n > 0, p, lower))
+        lower = np.log(lower)
+        one, two = lower[:, 1] - lower[:, 0], upper[:, 1] - upper[:, 0]
+        both_n = hit.sum(1)
+        return one * self.support[at] + (two - one) * both_n / (both_n + HALF)
 
 
 def build(words: tuple, pairs: tuple) -> Model:
@@ -93,10 +108,11 @@ def build(words: tuple, pairs: tuple) -> Model:
     total, types = np.zeros((2, len(h) + 1, 2), np.float32)
     np.add.at(total, a, seen)
     np.add.at(types, a, (seen > 0).astype(np.float32))
-    return Model(h, unigram.astype(np.float32), total, types, key, seen)
+    pooled = np.append(count.sum(1), 0)
+    return Model(h, unigram.astype(np.float32), (pooled / (pooled + HALF)).astype(np.float32), total, types, key, seen)
 
 
-def features(m: Model, texts: list[list[bytes]]) -> np.ndarray:
+def features(m: Model, texts: list[list[str]]) -> np.ndarray:
     """Per text: mean ratio, mean of the peaks' ratios, log length."""
     ids = Ids()
     flat = np.fromiter((ids[w] for ws in texts for w in ws), np.int64)
@@ -146,16 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most two samples of rows; a quarter is for the curve.
     chosen = part[0].union(part[1]).withColumn("held", F.xxhash64("id", F.lit(1)) % 4 == 0)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    taught = materialise(texts.join(F.broadcast(chosen), "id"), "taught")
+    taught = materialise(texts.join(F.broadcast(chosen), "id").dropDuplicates(["text"]), "taught")
 
     def count(batches):
         one, two = Counter(), Counter()
         ids = Ids()
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
-                at = [ids[w] for w in lower_words(text)]
-                one.update((w, toxic) for w in at)
-                two.update((v, w, toxic) for v, w in zip(at, at[1:]))
+                at = [ids[w] for w in tokens(text)]
+                one.update((w, toxic) for w in set(at))
+                two.update((v, w, toxic) for v, w in set(zip(at, at[1:])))
         h = word_hashes(list(ids)).view(np.int64)
         yield [int(h[w]) for w, _ in one], [None] * len(one), [t for _, t in one], list(one.values())
         yield [int(h[w]) for _, w, _ in two], [int(h[v]) for v, _, _ in two], [t for _, _, t in two], list(two.values())
@@ -171,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches):
         for b in batches:
-            x = features(held.value, [lower_words(t) for t in b["text"]])
+            x = features(held.value, [tokens(t) for t in b["text"]])
             yield b["toxic"], x[:, 0], x[:, 1], x[:, 2]
 
     measured = map_rows(taught.where("held").select("text", "toxic"), "toxic int, a double, b double, c double", measure, 512).toPandas()
@@ -193,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 s = np.full(len(b["text"]), curve)
             else:
                 mean, scale, w = curve
-                x = features(held.value, [lower_words(t) for t in b["text"]])
+                x = features(held.value, [tokens(t) for t in b["text"]])
                 s = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
             yield b["doc_id"], b["held_out"], s, (s >= 0.5).astype(np.int32)
 

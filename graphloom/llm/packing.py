@@ -15,21 +15,22 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import pieces
 from graphloom.llm.common import map_rows, materialise
+from graphloom.llm.pieces import Table, numbered
 
 #: Ids of a sequence, the id after each document.
 WINDOW = 2048
 END = 1
 #: Pieces that a worker keeps before it starts anew.
-CACHE = 500_000
+CACHE = 1 << 21
+#: Pieces that the library tokenizes in one string.
+CALL = 256
 
 
 class _Cache:
@@ -42,41 +43,45 @@ class _Cache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.table = Table(CACHE)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 15, np.int64)
         self.size = np.empty(1 << 15, np.int32)
-        self.used = 0
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.number) > CACHE:
-            self.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self.number))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(got), np.uint32)
-            sizes = np.fromiter(map(len, got), np.int32, len(got))
-            n = len(self.number)
-            self.ids = _room(self.ids, self.used + len(flat))
-            self.start, self.size = _room(self.start, n + len(part)), _room(self.size, n + len(part))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.size[n : n + len(part)] = sizes
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            self.number.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, ps: list[str]) -> np.ndarray:
-        """Ids of a text's pieces, gathered from the flat array."""
-        at = np.fromiter(map(self.number.__getitem__, ps), np.int64, len(ps))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        if not len(ends) or not ends[-1]:
-            return np.empty(0, np.uint32)
-        return self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+        self.n = self.used = 0
+
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of new pieces; they are tokenized many to a call, parted by a space."""
+        begin = self.n
+        for k in range(0, len(new), CALL * 64):
+            part = new[k : k + CALL * 64]
+            lots = [part[i : i + CALL] for i in range(0, len(part), CALL)]
+            for lot, e in zip(lots, self.tokenizer.encode_batch(list(map(" ".join, lots)), add_special_tokens=False)):
+                ends = np.cumsum(np.fromiter(map(len, lot), np.int64, len(lot)) + 1)
+                ids = np.array(e.ids, np.uint32)
+                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+                self._keep(ids, np.bincount(np.searchsorted(ends, at, "right"), minlength=len(lot)))
+        return np.arange(begin, self.n)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.n, self.n + len(sizes)
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.start, self.size = _room(self.start, m), _room(self.size, m)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[n:m] = sizes
+        self.start[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = m, self.used + len(ids)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a batch of texts end to end, and each text's number of ids."""
+        at, count = numbered(texts, self.table, self.learn, self.clear)
+        size = self.size[at].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        bounds = ends[np.concatenate([[0], np.cumsum(count)])]
+        ids = self.ids[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(bounds)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -94,18 +99,17 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def rows(batches):
         part, at = TaskContext.get().partitionId(), 0
         cache = _cache(path)
-        tail = np.array([END], "<u4")
         for b in batches:
-            split = [pieces(t or "") for t in b["text"]]
-            cache.learn(split)
-            ids = [np.concatenate([cache.encode(ps), tail]).astype("<u4") for ps in split]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            yield b["doc_id"], [part] * len(n), at + np.cumsum(n) - n, n, [x.tobytes() for x in ids]
+            ids, n = cache.encode([t or b"" for t in b["text"]])
+            ends = np.cumsum(n)
+            ids = np.insert(ids, ends, END).astype("<u4")
+            n = n + 1
+            yield b["doc_id"], [part] * len(n), at + np.cumsum(n) - n, n, [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
             at += int(n.sum())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return map_rows(df, f"doc_id {kind}, part int, at long, doc_tokens long, ids binary", rows, 256)
+    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    return map_rows(df, f"doc_id {kind}, part int, at long, doc_tokens long, ids binary", rows, 1024)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

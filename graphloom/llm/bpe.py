@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from graphloom.llm.common import map_rows
+from graphloom.llm.pieces import Table, numbered
 
 #: Python's str.split() also cuts at these four; the tokenizer's \s doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Pieces that a worker keeps before it starts anew.
-CACHE = 400_000
+CACHE = 1 << 20
 #: Up to here Python's and the library's character classes are the same.
 LATIN = "\u024f"
 
@@ -171,25 +172,41 @@ def model(path: str) -> Bpe:
 
 
 class Encoded:
-    """Pieces that this worker has encoded: piece -> number; ids and tokens by number."""
+    """Pieces that this worker has encoded: number of ids, ids and tokens as text, by number."""
 
     def __init__(self, path: str):
-        self.bpe, self.number = model(path), {}
+        self.bpe, self.table = model(path), Table(CACHE)
+        self.clear()
+
+    def clear(self) -> None:
         self.size: list[int] = []
         self.ids: list[str] = []
         self.shown: list[str] = []
 
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.number) > CACHE:
-            self.number.clear(), self.size.clear(), self.ids.clear(), self.shown.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self.number))
+    def learn(self, new: list[str]) -> range:
+        begin = len(self.size)
         for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for piece, ids in zip(part, self.bpe.encode_pieces(part)):
-                self.number[piece] = len(self.size)
+            for ids in self.bpe.encode_pieces(new[k : k + 50_000]):
                 self.size.append(len(ids))
                 self.ids.append(" ".join(map(str, ids)))
                 self.shown.append(" ".join(map(self.bpe.tokens.__getitem__, ids)))
+        return range(begin, len(self.size))
+
+    def digest(self, texts: list[bytes]) -> tuple[list[int], list[str], list[str]]:
+        """Per text: number of ids, and the hashes of ids and tokens."""
+        at, count = numbered(texts, self.table, self.learn, self.clear)
+        ends = np.cumsum(count).tolist()
+        at = at.tolist()
+        n, ids, shown, lo = [], [], [], 0
+        for hi in ends:
+            own, lo = at[lo:hi], hi
+            sizes = list(map(self.size.__getitem__, own))
+            if 0 in sizes:
+                own = [a for a, s in zip(own, sizes) if s]
+            n.append(sum(sizes))
+            ids.append(hashlib.sha256(" ".join(map(self.ids.__getitem__, own)).encode()).hexdigest())
+            shown.append(hashlib.sha256(" ".join(map(self.shown.__getitem__, own)).encode()).hexdigest())
+        return n, ids, shown
 
 
 @lru_cache(1)
@@ -203,22 +220,11 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def rows(batches):
         cache = _encoded(path)
         for b in batches:
-            split = [pieces(t or "") for t in b["text"]]
-            cache.learn(split)
-            n, ids, shown = [], [], []
-            for ps in split:
-                at = list(map(cache.number.__getitem__, ps))
-                sizes = list(map(cache.size.__getitem__, at))
-                if 0 in sizes:
-                    at = [a for a, s in zip(at, sizes) if s]
-                n.append(sum(sizes))
-                ids.append(hashlib.sha256(" ".join(map(cache.ids.__getitem__, at)).encode()).hexdigest())
-                shown.append(hashlib.sha256(" ".join(map(cache.shown.__getitem__, at)).encode()).hexdigest())
-            yield b["doc_id"], n, ids, shown
+            yield b["doc_id"], *cache.digest([t or b"" for t in b["text"]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return map_rows(df, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 256)
+    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    return map_rows(df, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 1024)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

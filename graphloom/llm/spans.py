@@ -114,9 +114,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     gone = materialise(repeated(plain.select(F.col(i).alias("id"), F.col(t).alias("text")), min_words), "gone")
-    n = gone.limit(20_001).count()
-    gone = F.broadcast(gone) if n <= 20_000 else gone.hint("shuffle_hash")
-    joined = plain.join(gone, F.col(i).eqNullSafe(F.col("id")) & (F.xxhash64(t) == F.col("th")), "left").drop("id", "th")
+    # The same plan at every size: texts meet their own runs in a shuffle, without a sort.
+    joined = plain.join(gone.hint("shuffle_hash"), F.col(i).eqNullSafe(F.col("id")) & (F.xxhash64(t) == F.col("th")), "left").drop("id", "th")
 
     def rows(batches):
         for b in batches:

@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_rows, materialise, ship
 
-SAMPLE, BRANCH, LEAF = 50_000, 8, 48
-K, RECALL, CALIBRATION = 5, 0.97, 256
+SAMPLE, BRANCH = 50_000, 8
+#: Least sample rows of a leaf that is split, and the share of the sample: the tree's size is bounded, so what a query visits doesn't grow with the rows.
+LEAF, LEAF_SHARE = 48, 128
+K, RECALL, CALIBRATION = 5, 0.95, 256
 #: Rows and queries of one group.
-GROUP_ROWS, GROUP_QUERIES = 4096, 2048
+GROUP_ROWS, GROUP_QUERIES = 8192, 2048
 #: Scores this near count as equal until they are computed exactly.
 SLACK = 1e-9
 
@@ -90,7 +92,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return own
 
 
-def fit(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 7) -> Tree:
+def fit(x: np.ndarray, leaf: int, branch: int = BRANCH, seed: int = 7) -> Tree:
     """The tree of a sample of unit vectors."""
     rng = np.random.default_rng(seed)
     members = [np.arange(len(x))]
@@ -186,7 +188,7 @@ def calibrate(tree: Tree, queries: pd.DataFrame, rows: DataFrame, k: int, recall
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
 
 
-def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE, leaf: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which is_query(id column) holds."""
     spark = df.sparkSession
     ship(spark)
@@ -194,7 +196,7 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
     least = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toPandas()
     if not len(least):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = fit(unit(matrix(least["x"])), leaf=leaf)
+    tree = fit(unit(matrix(least["x"])), leaf=leaf or max(LEAF, len(least) // LEAF_SHARE))
     asked = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
     some = asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).toPandas()
     visits = calibrate(tree, some, rows, k, recall)

@@ -29,7 +29,7 @@ def read(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> Knowle
 
 def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     """Token to id: by line number, or from a flat JSON object; bounded, so it is held by the driver."""
-    rows = spark.read.option("wholetext", True).text(path).first()
+    rows = spark.read.text(path, wholetext=True).first()
     text = rows[0] if rows else ""
     if path.endswith(".json"):
         import json
@@ -40,7 +40,7 @@ def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
 
 def merges(spark: SparkSession, path: str) -> list[str]:
     """Merge rules in order; blank lines and comments are skipped."""
-    rows = spark.read.option("wholetext", True).text(path).first()
+    rows = spark.read.text(path, wholetext=True).first()
     return [line.strip("\r") for line in (rows[0] if rows else "").split("\n") if line.strip() and not line.startswith("#")]
 
 
@@ -49,7 +49,7 @@ CONFIG = T.StructType([T.StructField("model_name", T.StringType())] + [T.StructF
 
 def model_configs(spark: SparkSession, path: str) -> DataFrame:
     """Model configurations, a row a file; absent optional fields are null."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", CONFIG).alias("c")).select("c.*")
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", CONFIG).alias("c")).select("c.*")
 
 
 def tensor_files(spark: SparkSession, path: str, kind: str = "<f4") -> DataFrame:

@@ -24,7 +24,7 @@ def test_windows_and_sessions(spark, tmp_path):
 
 
 def test_state_grows_over_batches(spark, tmp_path):
-    one = lambda a, x: spark.createDataFrame([(a, x)], "atom_id string, amount double")
+    one = lambda a, x: spark.createDataFrame([(a, x)], "atom_id string, amount double").coalesce(1)
     for k in range(3):
         one("a", 10.0).write.mode("append").parquet(f"{tmp_path}/in")
     like = one("a", 1.0)
@@ -41,10 +41,10 @@ def test_state_grows_over_batches(spark, tmp_path):
 
 
 def test_standing_pattern(spark, tmp_path):
-    one = spark.range(1)
+    one = spark.range(1).coalesce(1)
     atoms = schema.inheritance(one, F.lit("ConceptNode|a"), F.lit("ConceptNode|b"))
     for other in ("b", "c"):
-        schema.inheritance(one, F.lit("ConceptNode|a"), F.lit(f"ConceptNode|{other}")).write.mode("append").parquet(f"{tmp_path}/in")
+        schema.inheritance(one, F.lit("ConceptNode|a"), F.lit(f"ConceptNode|{other}")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     seen = []
     q = cycles.standing_pattern(cycles.read(spark, f"{tmp_path}/in", atoms, files_a_batch=1), KnowledgeBase.empty(spark), inheritance(Var("x"), concept("b")), lambda d, k: seen.append(d.count()), f"{tmp_path}/cp")
     q.processAllAvailable()

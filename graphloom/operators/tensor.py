@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.store import numbered
+
 # Reductions
 
 
@@ -67,7 +69,7 @@ def medians(t: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
 def unique(t: DataFrame, value: str = "v") -> DataFrame:
     """Distinct values in order with counts and the number that each gets (inverse)."""
     counted = t.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("inverse", (F.row_number().over(Window.orderBy(value)) - 1).cast("long"))
+    return numbered(counted, "inverse", value)
 
 
 def unique_consecutive(t: DataFrame, by: Sequence[str], order: str, value: str = "v") -> DataFrame:
@@ -209,9 +211,8 @@ def masked_fill(t: DataFrame, mask: Column, fill: float, value: str = "v") -> Da
 
 def masked_scatter(t: DataFrame, mask: Column, source: DataFrame, order: Sequence[str], value: str = "v", source_order: str = "i") -> DataFrame:
     """Masked places take the source's values one after another."""
-    w = Window.orderBy(*order)
-    hit = t.where(mask).withColumn("_k", F.row_number().over(w))
-    feed = source.withColumn("_k", F.row_number().over(Window.orderBy(source_order))).select("_k", F.col(value).alias("_new"))
+    hit = numbered(t.where(mask), "_k", *order)
+    feed = numbered(source, "_k", source_order).select("_k", F.col(value).alias("_new"))
     return hit.join(feed, "_k").withColumn(value, F.col("_new")).drop("_k", "_new").unionByName(t.where(~mask))
 
 
@@ -354,7 +355,8 @@ def cross(a: Column, b: Column) -> Column:
 
 
 def arange(spark: SparkSession, start: int, end: int, step: int = 1) -> DataFrame:
-    return spark.range(start, end, step).select(F.row_number().over(Window.orderBy("id" if step > 0 else F.desc("id"))).alias("_r"), "id").select((F.col("_r") - 1).cast("long").alias("i"), F.col("id").alias("v"))
+    n = max(0, -(-(end - start) // step))
+    return spark.range(n).select(F.col("id").alias("i"), (F.lit(start) + F.col("id") * step).alias("v"))
 
 
 def linspace(spark: SparkSession, start: float, end: float, n: int) -> DataFrame:
@@ -387,7 +389,7 @@ def random(spark: SparkSession, n: int, kind: str = "uniform", seed: int = 0, **
     if kind == "bernoulli":
         return base.withColumn("v", (u < kw["p"]).cast("int"))
     if kind == "randperm":
-        return base.withColumn("_u", u).select("i", (F.row_number().over(Window.orderBy("_u")) - 1).alias("v"))
+        return numbered(base.withColumn("_u", u), "v", "_u").drop("_u")
     if kind == "poisson":
         rate = float(kw["rate"])
 

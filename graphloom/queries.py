@@ -183,6 +183,34 @@ def s22_generators(spark, sf):
     return line.join(logs, "i").join(tensor.full(spark, 9, 1.0).withColumnRenamed("v", "ones"), "i").select("i", r("v").alias("v"), r("log").alias("log"), "ones")
 
 
+@q(_with(E) + " SELECT src, dst, round(s, 5) AS s, round(c, 5) AS c FROM e WHERE dst LIKE 'region:%'")
+def s14_s15_binary_round_trip(spark, sf):
+    """The space of nations and regions through the byte format."""
+    from graphloom.sources import binary
+
+    kb = views.taxonomy(spark, sf)
+    links = kb.by_type("InheritanceLink").where(schema.name_of(F.col("outgoing")[1]).startswith("region:"))
+    ends = links.select(F.explode("outgoing").alias("atom_id")).distinct()
+    small = kb.replaced(links.unionByName(kb.atoms.join(ends, "atom_id", "left_semi")))
+    back = binary.deserialise(spark, binary.serialise(small))
+    return compiler.named(back.edges().select("src", "dst", r("tv_s", 5).alias("s"), r("tv_c", 5).alias("c")), "src", "dst")
+
+
+@q(_with(E) + " SELECT split_part(dst, ':', 1) AS kind, count(*) AS n FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1")
+def s14_parquet_round_trip(spark, sf):
+    """The taxonomy through the native store, written to the shared folder."""
+    import uuid
+
+    from graphloom.sources import tables
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/kb-{uuid.uuid4().hex}"
+    tables.write(views.taxonomy(spark, sf), path)
+    back = tables.read(spark, path)
+    kind = F.split_part(schema.name_of("dst"), F.lit(":"), F.lit(1)).alias("kind")
+    return back.edges("InheritanceLink").groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Patterns and filters
 
 
@@ -674,6 +702,19 @@ def o10_top_k(spark, sf):
     return tensor.top_k(t, ["l_suppkey"], 3).select("l_suppkey", F.col("pos").cast("long").alias("pos"), "sorted", "argsort")
 
 
+@q("SELECT 'customer:' || c_custkey AS src, 'customer:' || c_custkey || '>nation:' || n_nationkey || '>region:' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_custkey % 5 = 0")
+def o8_best_proof(spark, sf):
+    goals = load(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.lit("InheritanceLink").alias("link_type"), views.ident("customer", "c_custkey").alias("src"), F.lit("region:2").alias("dst"))
+    return infer.best_proof(infer.prove(views.edge_table(spark, sf), goals, depth=3)).select("src", F.array_join("path", ">").alias("path"))
+
+
+@q()
+def o11_summary(spark, sf):
+    """The first evaluations of what the benchmark's sentences tell."""
+    b = load(spark, sf, "benchmark")
+    return text.summary(KnowledgeBase(text.graph_of(text.relation_table(b, "item_id"), text.entity_table(b, "item_id"))), 5)
+
+
 # Sets
 
 
@@ -909,6 +950,25 @@ def e13_e15_learn_decay(spark, sf):
     return hebbian.decay(hebbian.learn(none, pairs)).select(F.col("src").alias("x"), F.col("dst").alias("y"), r("tv_s").alias("s"), r("tv_c").alias("c"))
 
 
+@q(_with(B) + ", fo AS (SELECT atom_id FROM b WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 30) SELECT a.atom_id AS src, c.atom_id AS dst, 0.1::DOUBLE AS s, 0.01::DOUBLE AS c FROM fo a JOIN fo c ON a.atom_id < c.atom_id")
+def e14_learn_from_focus(spark, sf):
+    """Every pair of the focus, which is bounded, is one activation."""
+    none = spark.createDataFrame([], "src string, dst string, tv_s double, tv_c double")
+    pairs = attention.co_active_pairs(attention.focus(views.bank(spark, sf), most=30))
+    return _links(hebbian.learn(none, pairs))
+
+
+@q(_with(B, G) + ", fo AS (SELECT atom_id, sti FROM b WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 100) SELECT round(sum(sti) - (SELECT least(100, count(*)) FROM fo WHERE sti >= 1) - (SELECT coalesce(sum(sti), 0) FROM fo WHERE sti < 1), 2) AS sti_after_rent, (SELECT count(*) FROM (SELECT a.atom_id AS x, c.atom_id AS y FROM fo a JOIN fo c ON a.atom_id < c.atom_id UNION SELECT least(src, dst), greatest(src, dst) FROM g)) AS links FROM b")
+def e12_cycle(spark, sf):
+    """One economic cycle: the spread keeps the sum, rent takes one from each focused atom."""
+    h = views.associations(spark, sf)
+    h = h.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "tv_s", "tv_c")
+    b = views.bank(spark, sf)
+    links = attention.link_update(h, attention.co_active_pairs(attention.focus(b)))
+    after = attention.rent(b)
+    return after.agg(r(F.sum("sti"), 2).alias("sti_after_rent")).crossJoin(F.broadcast(links.agg(F.count(F.lit(1)).alias("links"))))
+
+
 @q("SELECT 'user:' || user_id AS atom_id, max(ts) FILTER (event_type = 'signup') AS created_at, max(ts) FILTER (event_type = 'view') AS accessed_at, max(ts) FILTER (event_type = 'purchase') AS modified_at FROM events GROUP BY 1")
 def e17_times(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "view", "accessed").when(F.col("event_type") == "purchase", "modified").otherwise("event")
@@ -1085,6 +1145,12 @@ def x19_tril(spark, sf):
     return tensor.tril(a19_coalesce(spark, sf))
 
 
+@q("SELECT l_orderkey, l_linenumber, l_quantity::INT AS i, l_tax::FLOAT::DOUBLE AS f, (l_quantity > 25)::INT AS b FROM lineitem")
+def x20_cast(spark, sf):
+    c = F.col
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").cast("int").alias("i"), c("l_tax").cast("float").cast("double").alias("f"), (c("l_quantity") > 25).cast("int").alias("b"))
+
+
 @q("SELECT round(avg((l_tax - l_discount) * (l_tax - l_discount)), 8) AS mse, round(avg(abs(l_tax - l_discount)), 8) AS l1 FROM lineitem")
 def x22_losses(spark, sf):
     a, b = F.col("l_tax"), F.col("l_discount")

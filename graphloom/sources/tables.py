@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +36,6 @@ def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     rows = spark.read.text(path, wholetext=True).first()
     text = rows[0] if rows else ""
     if path.endswith(".json"):
-        import json
-
         return {str(k): int(v) for k, v in json.loads(text).items()}
     return {line.rstrip("\r"): k for k, line in enumerate(text.split("\n")) if line.rstrip("\r") or k < text.count("\n")}
 
@@ -54,9 +56,6 @@ def model_configs(spark: SparkSession, path: str) -> DataFrame:
 
 def tensor_files(spark: SparkSession, path: str, kind: str = "<f4") -> DataFrame:
     """(path, values): raw little-endian numbers of each file."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def values(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, kind).astype(float).tolist())

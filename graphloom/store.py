@@ -6,7 +6,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,3 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """Adds each row's place in a total order, from 0, without bringing the rows together.
+
+    Rows are dealt by range and sorted in place; only the ranges' counts (one
+    number each) are summed on the driver.
+    """
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counts = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0] + [n for _, n in counts]).tolist()
+    base = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_p long, _base long")
+    placed = dealt.withColumn("_p", part).join(F.broadcast(base), "_p")
+    return placed.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_base")

@@ -27,9 +27,6 @@ counts are 0 and classes are equally likely.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -38,32 +35,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Ids, crc_mod, lower_words, map_rows, materialise
+from graphloom.llm.common import crc_mod, map_rows, materialise
+from graphloom.llm.pieces import BLANK, LONGEST, Table, hashes
 
 FOLDS, HELD_OUT = 7, 2
-#: The end token: no word is empty.
-END = b""
+#: The end token's hash: no word has it.
+END = 0
 #: Words of more than one token in so many are broadcast.
 HEAD = 1 << 17
 #: Classes of one word each (the end token first), classes of endings, rows of the weight table.
 ALONE, ENDINGS, ROWS = 24, 40, 1 << 13
 CLASSES = ALONE + ENDINGS
-ROUNDS, RATE, START, BATCH = 2, 0.2, 0.5, 4096
+ROUNDS, RATE, START, BOUND, BATCH = 2, 0.2, 0.5, 20.0, 4096
 #: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 300_000
+HELD_WORDS = 1 << 20
+#: The table has no key 0, the end token's hash.
+FLIP = np.uint64(0x5851F42D4C957F2D)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 SHIFT = np.uint64(64 - (ROWS.bit_length() - 1))
 
 
-def word_hash(word: bytes) -> int:
-    """Signed 64-bit hash that stands for the word."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+class Tokens(NamedTuple):
+    """A batch's tokens end to end, each text closed by the end token: hashes, classes of endings, bounds of texts."""
 
+    hashes: np.ndarray
+    endings: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
 
-def ending(word: bytes) -> int:
-    """The class of words with such an ending."""
-    return zlib.crc32(word[-3:]) % ENDINGS
+
+def tokens(texts: list[bytes | None]) -> Tokens:
+    """Lower-cases A-Z, cuts and hashes all words of a batch in numpy."""
+    texts = [t or b"" for t in texts]
+    data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8), prepend=np.int8(1)))
+    starts, ends = edge[::2], edge[1::2]
+    h = hashes(data, starts, ends).view(np.int64)
+    for k in np.flatnonzero(ends - starts > LONGEST).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes()) - (1 << 63)
+    size = ends - starts
+    code = data[ends - 1].astype(np.int64)
+    for k in (2, 3):
+        code |= np.where(size >= k, data[ends - np.minimum(k, size)], 0).astype(np.int64) << (8 * (k - 1))
+    e = ((code * 0x9E3779B1 >> 11) % ENDINGS).astype(np.int32)
+    length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    upto = np.searchsorted(starts, np.cumsum(length))
+    sizes = np.diff(upto, prepend=0) + 1
+    return Tokens(np.insert(h, upto, END), np.insert(e, upto, 0), np.cumsum(sizes) - sizes, sizes)
 
 
 class Counts(NamedTuple):
@@ -71,101 +91,97 @@ class Counts(NamedTuple):
 
     tokens: int
     distinct: int
-    head: np.ndarray  # sorted hashes of frequent words
+    head: Table  # hashes of frequent words and the end token
     head_count: np.ndarray
-    alone: dict  # hash -> class of its own
+    head_class: np.ndarray  # of words with a class of their own, else -1
     within: np.ndarray  # log10(N_class + V_class + 1); 0 for classes of one word
     prior: np.ndarray  # log of the class shares
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, ending, c) of all tokens."""
+    """(h, e, c): hash, class of the ending and count of all distinct tokens."""
 
     def rows(batches):
-        held: Counter = Counter()
+        table = Table(HELD_WORDS)
+        h, e, c = (np.zeros(HELD_WORDS, t) for t in (np.int64, np.int32, np.int64))
         for b in batches:
-            for t in b["text"]:
-                held.update(lower_words(t))
-            held[END] += len(b["text"])
-            if len(held) > HELD_WORDS:
-                yield list(map(word_hash, held)), list(map(ending, held)), list(held.values())
-                held.clear()
-        if held:
-            yield list(map(word_hash, held)), list(map(ending, held)), list(held.values())
-
-    made = map_rows(docs.select(docs[text_col].alias("text")), "h long, e int, c long", rows, 1024)
+            t = tokens(b["text"])
+            at = table.find(t.hashes.view(np.uint64) ^ FLIP)
+            new = np.flatnonzero(at < 0)
+            distinct, first, back = np.unique(t.hashes[new], return_index=True, return_inverse=True)
+            if table.n + len(distinct) > HELD_WORDS:
+                yield h[: table.n].copy(), e[: table.n].copy(), c[: table.n].copy()
+                table.clear()
+                c[:] = 0
+                distinct, first, at = np.unique(t.hashes, return_index=True, return_inverse=True)
+                if len(distinct) > HELD_WORDS:
+                    yield distinct, t.endings[first], np.bincount(at)
+                    continue
+            else:
+                first = new[first]
+                at[new] = table.n + back
+            n = table.n
+            table.add(distinct.view(np.uint64) ^ FLIP, np.arange(n, n + len(distinct)))
+            h[n : table.n], e[n : table.n] = distinct, t.endings[first]
+            c[: table.n] += np.bincount(at, minlength=table.n)
+        if table.n:
+            yield h[: table.n], e[: table.n], c[: table.n]
+
+    made = map_rows(docs.select(docs[text_col].cast("binary").alias("text")), "h long, e int, c long", rows, 512)
     return made.groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c"))
 
 
 def _frequent(tokens: int):
     """A word of more than 1/HEAD of the tokens, or the end token."""
-    return (F.col("c") * HEAD > tokens) | (F.col("h") == word_hash(END))
+    return (F.col("c") * HEAD > tokens) | (F.col("h") == END)
 
 
 def gather(table: DataFrame) -> Counts:
     """Totals, the head and the classes' sizes of a count table."""
-    tokens, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # Fewer than HEAD words can have more than tokens / HEAD each.
-    head = table.where(_frequent(tokens)).select("h", "c").toPandas()
-    h, c = head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
-    end = word_hash(END)
-    top = [int(x) for x in h[np.lexsort((h, -c))] if x != end][: ALONE - 1]
-    alone = {x: k for k, x in enumerate([end, *top])}
+    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # Fewer than HEAD words can have more than total / HEAD each.
+    head = table.where(_frequent(total)).select("h", "e", "c").toPandas()
+    h, e, c = head["h"].to_numpy(np.int64), head["e"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
+    own = np.full(len(h), -1)
+    top = np.lexsort((h, -c))
+    top = top[h[top] != END][: ALONE - 1]
+    own[top] = np.arange(1, len(top) + 1)
+    own[h == END] = 0
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in table.groupBy("e").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         mass[ALONE + r["e"]], kinds[ALONE + r["e"]] = r["c"], r["v"]
-    own = table.where(F.col("h").isin(list(alone))).collect()
-    for r in own:
-        mass[ALONE + r["e"]] -= r["c"]
-        kinds[ALONE + r["e"]] -= 1
-        mass[alone[r["h"]]] = r["c"]
+    alone = np.flatnonzero(own >= 0)
+    np.subtract.at(mass, ALONE + e[alone], c[alone])
+    np.subtract.at(kinds, ALONE + e[alone], 1)
+    mass[own[alone]] = c[alone]
     within = np.where(np.arange(CLASSES) < ALONE, 0.0, np.log10(mass + kinds + 1))
-    order = np.argsort(h)
-    return Counts(int(tokens), int(distinct), h[order], c[order], alone, within, np.log((mass + 1) / (mass.sum() + CLASSES)))
-
+    found = Table(max(HEAD, len(h)))
+    found.add(h.view(np.uint64) ^ FLIP, np.arange(len(h)))
+    return Counts(int(total), int(distinct), found, c, own, within, np.log((mass + 1) / (mass.sum() + CLASSES)))
 
-class Batch(NamedTuple):
-    flat: np.ndarray  # token -> number of its word in this batch
-    starts: np.ndarray
-    sizes: np.ndarray
-    unique: list
-    hashes: np.ndarray
-    classes: np.ndarray
 
+def classed(t: Tokens, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's class, and its place among the frequent words (-1: rare)."""
+    place = counts.head.find(t.hashes.view(np.uint64) ^ FLIP)
+    if not len(counts.head_class):
+        return np.where(t.hashes == END, 0, ALONE + t.endings), place
+    own = np.where(place >= 0, counts.head_class[place], -1)
+    return np.where(t.hashes == END, 0, np.where(own >= 0, own, ALONE + t.endings)), place
 
-def number(texts: list[str | None], counts: Counts) -> Batch:
-    """A batch's tokens, each distinct word hashed and classed once."""
-    ids = Ids()
-    split = [lower_words(t) + [END] for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-    unique = list(ids)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, unique), np.uint64, len(unique)).view(np.int64)
-    classes = np.array([counts.alone.get(h, -1) for h in hashes.tolist()], np.int64)
-    for k in np.flatnonzero(classes < 0):
-        classes[k] = ALONE + ending(unique[k])
-    return Batch(flat, np.cumsum(sizes) - sizes, sizes, unique, hashes, classes)
 
-
-def contexts(b: Batch) -> np.ndarray:
+def contexts(t: Tokens) -> np.ndarray:
     """Rows of the weight table for each token: bigram, skip and trigram; a text begins with two blanks."""
-    h = b.hashes.view(np.uint64)[b.flat]
+    h = t.hashes.view(np.uint64)
     one, two = np.zeros_like(h), np.zeros_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
-    one[b.starts] = 1
-    two[b.starts] = 1
-    second = b.starts[b.sizes > 1] + 1
-    two[second] = 1
+    one[t.starts] = 1
+    two[t.starts] = 1
+    two[t.starts[t.sizes > 1] + 1] = 1
     f = np.stack([one * MIX[0], two * MIX[1], one * MIX[2] ^ two * MIX[3]])
     f ^= f >> np.uint64(29)
     return ((f * MIX[0]) >> SHIFT).astype(np.int32)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
 def logits(weights: np.ndarray, prior: np.ndarray, f: np.ndarray) -> np.ndarray:
     z = weights[f[0]]
     z += weights[f[1]]
@@ -174,23 +190,43 @@ def logits(weights: np.ndarray, prior: np.ndarray, f: np.ndarray) -> np.ndarray:
     return z
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    """Weights stay within bounds, so that exp can't overflow."""
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def row_sums(z: np.ndarray, f: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, sum of z over each row's uses, uses): rows' first, second ... uses are added all together."""
+    flat = f.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    rows = flat[order]
+    begin = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+    n = np.diff(begin, append=len(rows))
+    by = np.argsort(-n, kind="stable")
+    begin, n, token = begin[by], n[by], order % f.shape[1]
+    sums = z[token[begin]]
+    more = np.searchsorted(-n, -np.arange(few + 1), "left")
+    for k in range(1, few):
+        m = more[k]
+        if not m:
+            break
+        sums[:m] += z[token[begin[:m] + k]]
+    for j in range(more[few]):
+        sums[j] += z[token[begin[j] + few : begin[j] + n[j]]].sum(0)
+    return rows[begin], sums, n
+
+
 def step(weights: np.ndarray, grown: np.ndarray, used: np.ndarray, prior: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
     """One minibatch: expected less observed class, summed over each row's uses."""
     z = logits(weights, prior, f)
-    z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(y)), y] -= 1
-    for k in range(3):
-        order = np.argsort(f[k], kind="stable")
-        rows = f[k][order]
-        begin = np.flatnonzero(np.diff(rows, prepend=-1))
-        g = np.add.reduceat(z[order], begin, axis=0)
-        rows = rows[begin]
-        n = np.diff(begin, append=len(order)).astype(np.float32)
-        grown[rows] += (g * g).mean(1)
-        used[rows] += n
-        weights[rows] -= RATE * g / np.sqrt(grown[rows] + START)[:, None]
+    rows, g, n = row_sums(z, f)
+    grown[rows] += np.einsum("ij,ij->i", g, g) / CLASSES
+    used[rows] += n
+    g *= (RATE / np.sqrt(grown[rows] + START))[:, None]
+    weights[rows] = np.clip(weights[rows] - g, -BOUND, BOUND)
 
 
 def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
@@ -201,8 +237,8 @@ def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
         prior = c.prior.astype(np.float32)
         grown, used = np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)
         for b in batches:
-            n = number(b["text"], c)
-            f, y = contexts(n), n.classes[n.flat]
+            t = tokens(b["text"])
+            f, y = contexts(t), classed(t, c)[0]
             for k in range(0, len(y), BATCH):
                 step(w, grown, used, prior, f[:, k : k + BATCH], y[k : k + BATCH])
         rows = np.flatnonzero(used)
@@ -220,7 +256,7 @@ def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
         if total:
             yield list(total), [(t[1] / t[0]).astype(np.float32).tobytes() for t in total.values()]
 
-    made = map_rows(docs.select("text"), "r int, n double, w binary", learn, 256)
+    made = map_rows(docs.select("text"), "r int, n double, w binary", learn, 512)
     # ROWS rows come back, however large the input.
     rows = map_rows(made.repartition("r"), "r int, w binary", mean, 4096).collect()
     out = weights.value.copy()
@@ -243,48 +279,53 @@ def train(docs: DataFrame, rounds: int = ROUNDS):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per document: token counts, the unigram base score and the model's log10 probability."""
-    df = docs.select(docs[id_col].alias("id"), (crc_mod(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"), docs[text_col].alias("text"))
+    df = docs.select(docs[id_col].alias("id"), (crc_mod(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"), docs[text_col].cast("binary").alias("text"))
     table, counts, weights = train(df.where(~F.col("held_out")).select("id", "text"), rounds)
     total = counts.value
 
     def rows(batches):
         c, w = counts.value, weights.value
+        # The last place, -1, is that of words with no count here.
+        logs = np.append(np.log10(c.head_count + 1.0), 0.0)
         prior = c.prior.astype(np.float32)
         at = TaskContext.get().partitionId() << 40
         for b in batches:
-            n = number(b["text"], c)
-            spot = np.minimum(np.searchsorted(c.head, n.hashes), max(len(c.head) - 1, 0))
-            frequent = c.head[spot] == n.hashes if len(c.head) else np.zeros(len(n.hashes), bool)
-            seen = np.where(frequent, c.head_count[spot] if len(c.head) else 0, 0)
-            own = np.log10(seen + 1.0)
+            t = tokens(b["text"])
+            y, place = classed(t, c)
+            own = logs[place]
             # Words alone in their class owe nothing within it.
-            inside = np.where(n.classes < ALONE, 0.0, own - c.within[n.classes])
-            f, y = contexts(n), n.classes[n.flat]
+            inside = np.where(y < ALONE, 0.0, own - c.within[y])
+            f = contexts(t)
             p = np.empty(len(y))
             for k in range(0, len(y), BATCH):
-                z = log_softmax(logits(w, prior, f[:, k : k + BATCH]))
-                p[k : k + BATCH] = z[np.arange(len(z)), y[k : k + BATCH]]
-            per = lambda x: np.add.reduceat(x[n.flat], n.starts)
-            doc = np.repeat(np.arange(len(n.sizes)), n.sizes)
-            rare = ~frequent[n.flat]
-            pair, times = np.unique(doc[rare] << 32 | n.flat[rare], return_counts=True)
-            cut = np.searchsorted(pair >> 32, np.arange(1, len(n.sizes)))
-            k = len(n.sizes)
+                z = logits(w, prior, f[:, k : k + BATCH])
+                own_class = z[np.arange(len(z)), y[k : k + BATCH]]
+                np.exp(z, out=z)
+                p[k : k + BATCH] = own_class - np.log(z.sum(1))
+            k = len(t.sizes)
+            rare = np.flatnonzero((place < 0) & (t.hashes != END))
+            doc, h = np.repeat(np.arange(k), t.sizes)[rare], t.hashes[rare]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(h, prepend=0) != 0))
+            times = np.diff(first, append=len(h)).astype(np.int32)
+            cut = np.searchsorted(doc[first], np.arange(1, k))
+            per = lambda x: np.add.reduceat(x, t.starts)
             yield (
                 range(at, at + k),
                 b["id"],
                 b["held_out"],
-                n.sizes,
-                per(frequent.astype(np.int64)),
+                t.sizes,
+                per((place >= 0).astype(np.int64)),
                 per(own),
-                np.add.reduceat(p, n.starts) / np.log(10) + per(inside),
-                np.split(n.hashes[pair & 0xFFFFFFFF], cut),
-                np.split(times.astype(np.int32), cut),
+                per(p) / np.log(10) + per(inside),
+                np.split(h[first], cut),
+                np.split(times, cut),
             )
             at += k
 
     kind = df.schema["id"].dataType.simpleString()
-    part = materialise(map_rows(df, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, own double, lm double, hs array<long>, ts array<int>", rows, 256), "scored")
+    part = materialise(map_rows(df, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, own double, lm double, hs array<long>, ts array<int>", rows, 512), "scored")
     rare = part.select("row", F.inline(F.arrays_zip("hs", "ts"))).toDF("row", "h", "t")
     # A rare word is never alone in its class, so its count goes to both scores.
     found = rare.join(table.where(~_frequent(total.tokens)).select("h", "c"), "h").groupBy("row").agg(F.sum("t").alias("k"), F.sum(F.col("t") * F.log10(F.col("c") + 1.0)).alias("s"))

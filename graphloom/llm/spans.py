@@ -1,9 +1,11 @@
 """Operator 9: substring dedup by sliding sentence spans.
 
 A run starts at each sentence and takes in the next ones until it has
-`min_words` words.  Each run is hashed from its sentences' hashes, the hashes
-meet globally, and every sentence that a repeated run covers goes, unless the
-run is the first of its kind: that of the smallest id, then the earliest.
+`min_words` words.  Each run is hashed from its words' hashes, the hashes meet
+globally, and every sentence that a repeated run covers goes, unless the run is
+the first of its kind: that of the smallest id, then the earliest.  Long
+sentences are cut further at words chosen by their hash, so a passage that
+begins in the middle of one is still found from its first chosen word on.
 
 Hash groups are counted with map-side aggregation (a long and a count for each);
 only runs whose hash repeats are joined back, so a passage that a third of all
@@ -17,52 +19,88 @@ empty table gives an empty result; columns keep their names and order.
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_rows, materialise, utf8
+from graphloom.llm.pieces import BLANK, hashes
 
 #: Words at which a run is long enough.
 MIN_WORDS = 25
-#: A sentence ends after its mark and the space behind it, or at a line's end.
-END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
-BASE = 0x9E3779B97F4A7C15
+#: A sentence of more words is cut further, behind every word whose hash is 0 modulo this.
+LONG_SENTENCE, CHOSEN = 12, 6
+#: A base for sums over words, other than that for sums over a word's bytes.
+BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+STOP = np.zeros(256, bool)
+STOP[[33, 46, 63]] = True
+
+
+class Units(NamedTuple):
+    """Words and sentences of a batch of texts end to end."""
+
+    starts: np.ndarray  # first byte of each word
+    hashes: np.ndarray  # of each word, A-Z lower-cased
+    first: np.ndarray  # first word of each sentence
+    upto: np.ndarray  # words up to the end of each text
+
+
+def units(texts: list[bytes]) -> Units:
+    """A sentence ends behind `.`, `!` or `?` before white space, at a line's end and, if long, behind chosen words.
+
+    Chosen words make a passage inside a longer sentence fall into the same
+    pieces wherever it stands.
+    """
+    data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8), prepend=np.int8(1)))
+    starts, ends = edge[::2], edge[1::2]
+    upto = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+    n = len(starts)
+    if not n:
+        return Units(starts, np.empty(0, np.uint64), starts, upto)
+    h = hashes(data, starts, ends)
+    lines = np.cumsum(data == 10)
+    last = STOP[data[ends - 1]]
+    last[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
+    last[upto[upto > 0] - 1] = True
+    sentence = np.cumsum(last) - last
+    long = np.bincount(sentence)[sentence] > LONG_SENTENCE
+    cut = last | long & (h % np.uint64(CHOSEN) == 0)
+    return Units(starts, h, np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1]), upto)
 
 
 def sentences(data: bytes) -> list[tuple[int, int]]:
-    """Bounds of the sentences in UTF-8, the space behind each included."""
-    ends = [m.end() for m in END.finditer(data)]
-    if not ends or ends[-1] < len(data):
-        ends.append(len(data))
-    starts = [0, *ends[:-1]]
-    return [(s, e) for s, e in zip(starts, ends) if e > s]
-
-
-def runs(data: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash and length in sentences of the run that starts at each sentence, as far as they are long enough; number of sentences."""
-    split = [data[s:e].split() for s, e in sentences(data.lower())]
-    n = len(split)
-    count = np.fromiter(map(len, split), np.int64, n)
-    total = np.concatenate([[0], np.cumsum(count)])
-    if total[-1] < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.int32), n
-    own = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in split), np.uint64, n)
-    end = np.searchsorted(total, total[:-1] + min_words)
-    m = int((end <= n).sum())
-    power, undo = _powers(BASE, n), _powers(INVERSE, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:n])])
-    at, end = np.arange(m), end[:m]
-    size = (end - at).astype(np.int32)
-    h = (sums[end] - sums[at]) * undo[at]
-    h ^= h >> np.uint64(29)
-    h = h * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    return h.view(np.int64), size, n
+    """Bounds of a text's sentences in UTF-8, the space behind each included."""
+    u = units([data])
+    at = u.starts[u.first].tolist()
+    return list(zip([0, *at[1:]], [*at[1:], len(data)])) if at else []
+
+
+def runs(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text: hash and length in sentences of the run from each sentence, as far as there are words enough."""
+    u = units(texts)
+    end_of = np.append(u.first[1:], len(u.starts))
+    text = np.searchsorted(u.upto, u.first, "right")
+    stop = np.searchsorted(end_of, u.first + min_words)
+    k = np.arange(len(u.first))
+    whole = stop < len(end_of)
+    whole[whole] = end_of[stop[whole]] <= u.upto[text[whole]]
+    k, stop, text = k[whole], stop[whole], text[whole]
+    lo, hi = u.first[k], end_of[stop]
+    out = np.empty(len(k), np.uint64)
+    sums = np.zeros(len(u.starts) + 1, np.uint64)
+    np.cumsum(u.hashes * _powers(BASE, len(u.starts))[:-1], out=sums[1:])
+    out = (sums[hi] - sums[lo]) * _powers(INVERSE, len(u.starts))[lo]
+    out ^= out >> np.uint64(29)
+    out = out * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64)
+    out ^= out >> np.uint64(32)
+    cut = np.searchsorted(text, np.arange(1, len(texts)))
+    return np.split(out.view(np.int64), cut), np.split((stop - k + 1).astype(np.int32), cut)
 
 
 def _powers(x: int, n: int) -> np.ndarray:
@@ -89,13 +127,13 @@ def without(text: str | None, gone: list[tuple[int, int]] | None) -> tuple[str |
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text hash, runs, first_ids): of documents (id, text), the runs that are not the first of their kind."""
-    df = docs.select("id", F.xxhash64("text").alias("th"), "text")
+    df = docs.select("id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
 
     def rows(batches):
         for b in batches:
-            found = [runs(utf8(t), min_words) for t in b["text"]]
-            some = [k for k, f in enumerate(found) if len(f[0])]
-            yield [b["id"][k] for k in some], [b["th"][k] for k in some], [found[k][0] for k in some], [found[k][1] for k in some]
+            h, size = runs([t or b"" for t in b["text"]], min_words)
+            some = [k for k, x in enumerate(h) if len(x)]
+            yield [b["id"][k] for k in some], [b["th"][k] for k in some], [h[k] for k in some], [size[k] for k in some]
 
     kind = docs.schema["id"].dataType.simpleString()
     made = materialise(map_rows(df, f"id {kind}, th long, hashes array<long>, sizes array<int>", rows, 256), "runs")

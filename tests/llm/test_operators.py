@@ -516,12 +516,24 @@ def naive_spans(rows, least=25):
                 n += len(ss[b][1])
                 b += 1
             if n >= least:
-                where[tuple(b" ".join(w) for _, w in ss[a:b])].append((i is None, i or 0, xxh(t), a, b, i, t))
+                where[b" ".join(b" ".join(w) for _, w in ss[a:b])].append((i is None, i or 0, xxh(t), a, b, i, t))
     cut = defaultdict(set)
     for found in where.values():
         for *_, a, b, i, t in sorted(found, key=lambda x: x[:4])[1:]:
             cut[i, t].update(range(a, b))
-    return {k: (None if k[1] is None else b"".join(x for n, (x, _) in enumerate(ss) if n not in cut[k]).decode(), len(cut[k])) for k, ss in split.items()}
+    return {k: (k[1] if not cut[k] else b"".join(x for n, (x, _) in enumerate(ss) if n not in cut[k]).decode(), len(cut[k])) for k, ss in split.items()}
+
+
+def test_sentences():
+    cut = lambda t: [t.encode()[a:b].decode() for a, b in spans.sentences(t.encode())]
+    assert cut("One two. Three?\nfour  \n\n five!six. ") == ["One two. ", "Three?\n", "four  \n\n ", "five!six. "]
+    assert cut("") == [] and cut(" \n") == [] and cut("é") == ["é"]
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    passage = " ".join(rng.choices(words, k=60))
+    texts = [" ".join([*rng.choices(words, k=a), passage, *rng.choices(words, k=20)]) for a in (3, 17, 40)]
+    found = [set(h.tolist()) for h in spans.runs([t.encode() for t in texts])[0]]
+    assert found[0] & found[1] & found[2]
 
 
 def xxh(t):

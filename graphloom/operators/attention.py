@@ -41,6 +41,15 @@ def stimulate(bank: DataFrame, stimuli: DataFrame) -> DataFrame:
     return rows.groupBy("atom_id").agg(*(F.sum(c).alias(c) for c in PARTS))
 
 
+def remove(bank: DataFrame, ids: DataFrame) -> DataFrame:
+    """Atoms no longer tracked."""
+    return bank.join(ids.select("atom_id"), "atom_id", "left_anti")
+
+
+def size(bank: DataFrame) -> int:
+    return bank.count()
+
+
 def decay(bank: DataFrame, factor: float = DECAY) -> DataFrame:
     return bank.withColumn("sti", F.col("sti") * factor)
 

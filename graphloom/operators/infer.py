@@ -7,7 +7,9 @@ results that depend on an order of pointers are replaced by a stated order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +142,32 @@ def fill(links_: DataFrame, nodes: DataFrame, rule: Callable[[TV, TV], TV]) -> D
     return links_.where("tv_c = 0").join(a, "src").join(b, "dst").select("link_type", "src", "dst", tv.s.alias("tv_s"), tv.c.alias("tv_c"))
 
 
+def over_pairs(nodes: DataFrame, rule: Callable[[TV, TV], TV], block: str | None = None) -> DataFrame:
+    """A rule over all unordered pairs of nodes (of a block): (src, dst, tv_s, tv_c)."""
+    return _concluded(_pairs(nodes, block, F.col("a_atom_id") < F.col("b_atom_id")), "Link", rule).drop("link_type")
+
+
+class Rule(Protocol):
+    """An inference rule: what a working set of edges lets it conclude."""
+
+    name: str
+
+    def __call__(self, edges: DataFrame) -> DataFrame: ...
+
+
+def deduction_rule(edges: DataFrame) -> DataFrame:
+    return deduce(edges, edges)
+
+
+RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"deduction": deduction_rule, "induction": induction_step}
+
+
+def apply_rules(edges: DataFrame, rules: Sequence[Callable[[DataFrame], DataFrame]] = (deduction_rule,), least: float = 0.1) -> DataFrame:
+    """A single step: new conclusions of all rules, the best of each."""
+    found = reduce(DataFrame.unionByName, [f(edges).select(EDGE) for f in rules])
+    return best(found.where(F.col("tv_c") >= least)).join(edges, ["link_type", "src", "dst"], "left_anti").select(EDGE)
+
+
 # Fixed points
 
 

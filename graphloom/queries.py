@@ -885,6 +885,17 @@ def r26_query_in_focus(spark, sf):
     return compiler.named(cognitive.query_in_focus(kb, P.inheritance(X, P.concept("nation:3")), focus).select("x"))
 
 
+@q(_with(E, DEDUCE) + " SELECT src, dst, round(max(c), 6) AS c FROM d WHERE c >= 0.4 GROUP BY src, dst")
+def r7_single_step(spark, sf):
+    """One step of the rules by name."""
+    return infer.apply_rules(views.edge_table(spark, sf), [infer.RULES["deduction"]], 0.4).select("src", "dst", r("tv_c").alias("c"))
+
+
+@q(_pair_sql("true", "a.s * b.s", "a.c * b.c"))
+def t22_rule_over_pairs(spark, sf):
+    return _links(infer.over_pairs(_nation_nodes(spark, sf), truth.conjunction, "block"))
+
+
 # Attention, association, time
 
 
@@ -1065,6 +1076,22 @@ def x11_byte_level_bpe(spark, sf):
     return d.select("item_id", ids.alias("ids"))
 
 
+@q()
+def x_model_embedding(spark, sf):
+    """Vectors of texts by a registered model."""
+    from graphloom.functions import models
+
+    return load(spark, sf, "benchmark").select("item_id", models.embed("hashed-bag", "text").alias("embedding"))
+
+
+@q()
+def x12_vocabulary_lookup(spark, sf):
+    v = _pieces(spark, sf)
+    t = load(spark, sf, "benchmark").select(F.explode(text.tokens(F.lower("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = F.create_map(*(F.lit(x) for k in v.ids.items() for x in k))
+    return t.select("token", "n", F.coalesce(F.try_element_at(known, F.col("token")), F.lit(tokenizer.UNK)).alias("id"))
+
+
 # Scenes: lineitem rows as boxes.
 
 BOX = "x AS (SELECT l_orderkey AS scene_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS ord, 'o' || l_linenumber AS label, l_discount * 5 AS x, l_tax * 8 AS y, l_quantity / 100 AS width, 0.2::DOUBLE AS height FROM lineitem WHERE l_orderkey <= 2000)"

@@ -358,6 +358,14 @@ def test_hebbian(spark):
     assert abs(calm.first()["tv_s"] - 0.03) < 1e-9
 
 
+def test_hebbian_cycles(spark):
+    none = spark.createDataFrame([], "src string, dst string, tv_s double, tv_c double")
+    h = hebbian.run_cycles(none, bank(spark, [(x, 5.0, 0.0, 0.0) for x in "abc"]), 2, hebbian.Config(rate=0.5, decay=0.0))
+    assert h.count() == 3 and h.first()["tv_s"] == 0.75 and hebbian.reset(h).count() == 0
+    b = bank(spark, [("a", 1.0, 0.0, 0.0)])
+    assert attention.size(attention.remove(b, b)) == 0
+
+
 def test_cycle(spark):
     kb = space(spark, inh(("a", "b"), ("b", "c")))
     b = bank(spark, [(schema.node_key("ConceptNode", n), 50.0, 1.0, 0.0) for n in "abc"])

@@ -23,12 +23,11 @@ import heapq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_rows, materialise, ship
+from graphloom.llm.common import local, map_rows, materialise, ship
 
 SAMPLE, BRANCH = 50_000, 8
 #: Least sample rows of a leaf that is split, and the share of the sample: the tree's size is bounded, so what a query visits doesn't grow with the rows.
@@ -65,13 +64,14 @@ class Tree(NamedTuple):
                 node[own] = self.first[n] + np.argmax(x[own] @ c.T - (c * c).sum(1) / 2, axis=1)
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that the queue gives, nearest bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, filled: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """The first leaves that the queue gives, nearest bin first; more until they hold `need` rows."""
+        heap, out, rows = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or rows < need):
             _, n = heapq.heappop(heap)
             if self.leaf[n] >= 0:
                 out.append(int(self.leaf[n]))
+                rows += filled.get(out[-1], 0) if filled else 0
                 continue
             lo, hi = self.first[n], self.first[n] + self.count[n]
             d = ((self.centre[lo:hi] - q) ** 2).sum(1)
@@ -160,9 +160,9 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def brute_force(queries: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def brute_force(queries: dict, rows: DataFrame, k: int) -> DataFrame:
     """Exact neighbours of a bounded set of queries among all rows, block by block."""
-    held = rows.sparkSession.sparkContext.broadcast((queries["id"].to_numpy(), matrix(queries["x"])))
+    held = rows.sparkSession.sparkContext.broadcast((queries["id"], matrix(queries["x"])))
 
     def search(batches):
         q_id, q = held.value
@@ -174,14 +174,14 @@ def brute_force(queries: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return _top(map_rows(rows, "query_id long, vec_id long, score double", search, 8192), k)
 
 
-def calibrate(tree: Tree, queries: pd.DataFrame, rows: DataFrame, k: int, recall: float) -> int:
+def calibrate(tree: Tree, queries: dict, rows: DataFrame, k: int, recall: float) -> int:
     """Leaf visits at which the queries' true neighbours are found to the recall."""
-    if not len(queries):
+    if not len(queries["id"]):
         return tree.leaves
     q = unit(matrix(queries["x"]))
     order = {i: {leaf: n for n, leaf in enumerate(tree.visits(v, tree.leaves), 1)} for i, v in zip(queries["id"], q)}
-    true = brute_force(queries, rows, k).join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", "x").toPandas()
-    if not len(true):
+    true = local(brute_force(queries, rows, k).join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", "x"))
+    if not len(true["x"]):
         return 1
     leaf = tree.place(unit(matrix(true["x"])))
     need = np.sort([order[i][n] for i, n in zip(true["query_id"], leaf.tolist())])
@@ -193,20 +193,23 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
     spark = df.sparkSession
     ship(spark)
     rows = materialise(vectors(df, id_col, vec_col), "vectors")
-    least = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toPandas()
+    least = local(rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("x"))["x"]
     if not len(least):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = fit(unit(matrix(least["x"])), leaf=leaf or max(LEAF, len(least) // LEAF_SHARE))
+    tree = fit(unit(matrix(least)), leaf=leaf or max(LEAF, len(least) // LEAF_SHARE))
     asked = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
-    some = asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).toPandas()
+    some = local(asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION))
     visits = calibrate(tree, some, rows, k, recall)
     held = spark.sparkContext.broadcast(tree)
 
     placed = materialise(map_rows(rows, "id long, x binary, leaf int", lambda batches: ((b["id"], b["x"], held.value.place(unit(matrix(b["x"])))) for b in batches), 8192), "placed")
 
+    # A number a leaf: a query goes on until its leaves hold enough rows besides itself.
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count_distinct("id").alias("n")).collect()}
+
     def walk(batches):
         for b in batches:
-            to = [held.value.visits(q, visits) for q in unit(matrix(b["x"]))]
+            to = [held.value.visits(q, visits, sizes, k + 1) for q in unit(matrix(b["x"]))]
             yield b["id"], b["x"], to
 
     visiting = map_rows(asked, "query_id long, q binary, leaves array<int>", walk, 1024)

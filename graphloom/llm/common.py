@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,9 +117,10 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterab
     return df.mapInArrow(run, out)
 
 
-def one_of(df: DataFrame) -> dict:
-    """The single row of a global aggregate."""
-    return df.first().asDict()
+def local(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a bounded table on the driver: numbers as arrays, others as arrays of objects."""
+    t = df.toArrow()
+    return {n: t.column(n).to_numpy() for n in t.column_names}
 
 
 def sides(left: DataFrame, small: DataFrame, on, how: str, rows: int, bound: int = 50_000) -> DataFrame:

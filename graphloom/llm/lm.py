@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, map_rows, materialise
+from graphloom.llm.common import crc_mod, local, map_rows, materialise
 from graphloom.llm.pieces import BLANK, LONGEST, Table, hashes
 
 FOLDS, HELD_OUT = 7, 2
@@ -140,8 +140,8 @@ def gather(table: DataFrame) -> Counts:
     """Totals, the head and the classes' sizes of a count table."""
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # Fewer than HEAD words can have more than total / HEAD each.
-    head = table.where(_frequent(total)).select("h", "e", "c").toPandas()
-    h, e, c = head["h"].to_numpy(np.int64), head["e"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
+    head = local(table.where(_frequent(total)).select("h", "e", "c"))
+    h, e, c = (head[k].astype(np.int64) for k in ("h", "e", "c"))
     own = np.full(len(h), -1)
     top = np.lexsort((h, -c))
     top = top[h[top] != END][: ALONE - 1]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Ids, crc_mod, map_rows, materialise
+from graphloom.llm.common import Ids, crc_mod, local, map_rows, materialise
 
 #: Labelled rows a class that the models may learn from.
 SAMPLE = 8_000
@@ -41,6 +41,8 @@ DISCOUNT = 0.75
 PEAKS = 3
 #: Documents at which half of a ratio is believed.
 HALF = 4.0
+#: A context moves a token's ratio by this at most: near copies in the sample repeat their contexts.
+MOST_SHIFT = 1.0
 WORDS = re.compile(r"\w+")
 #: A row whose id's crc32 is 0 modulo this is held out.
 FOLDS = 5
@@ -84,8 +86,9 @@ class Model(NamedTuple):
         upper = np.log(np.where(n > 0, p, lower))
         lower = np.log(lower)
         one, two = lower[:, 1] - lower[:, 0], upper[:, 1] - upper[:, 0]
-        both_n = hit.sum(1)
-        return one * self.support[at] + (two - one) * both_n / (both_n + HALF)
+        # A context speaks as far as both classes know it.
+        pair, known = hit.sum(1), n.min(1)
+        return one * self.support[at] + np.clip((two - one) * pair / (pair + HALF) * known / (known + HALF), -MOST_SHIFT, MOST_SHIFT)
 
 
 def build(words: tuple, pairs: tuple) -> Model:
@@ -180,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = map_rows(taught.where(~F.col("held")).select("text", "toxic"), "w long, v long, toxic int, n long", count, 512)
     table = materialise(counted.groupBy("v", "w").agg(of(0).alias("o"), of(1).alias("t")), "counts")
     cont = table.where("v IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    one = table.where(f"v IS NULL AND o + t >= {LEAST}").select("w", "o", "t").join(cont, "w", "left").select("w", "o", "t", F.coalesce("c", F.lit(0)).alias("c")).toPandas()
-    two = table.where(f"v IS NOT NULL AND o + t >= {LEAST}").select("v", "w", "o", "t").toPandas()
-    model = build(tuple(one[c].to_numpy() for c in ("w", "o", "t", "c")), tuple(two[c].to_numpy() for c in ("v", "w", "o", "t")))
+    one = local(table.where(f"v IS NULL AND o + t >= {LEAST}").select("w", "o", "t").join(cont, "w", "left").select("w", "o", "t", F.coalesce("c", F.lit(0)).alias("c")))
+    two = local(table.where(f"v IS NOT NULL AND o + t >= {LEAST}").select("v", "w", "o", "t"))
+    model = build(tuple(one[c] for c in ("w", "o", "t", "c")), tuple(two[c] for c in ("v", "w", "o", "t")))
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -190,13 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(held.value, [tokens(t) for t in b["text"]])
             yield b["toxic"], x[:, 0], x[:, 1], x[:, 2]
 
-    measured = map_rows(taught.where("held").select("text", "toxic"), "toxic int, a double, b double, c double", measure, 512).toPandas()
-    y = measured["toxic"].to_numpy().astype(float)
+    measured = local(map_rows(taught.where("held").select("text", "toxic"), "toxic int, a double, b double, c double", measure, 512))
+    y = measured["toxic"].astype(float)
     if not 0 < y.sum() < len(y):
         return None, sizes[1] / (sizes[0] + sizes[1])
     per = {c: sizes[c] / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, per[1], per[0])
-    return held, fit_curve(measured[["a", "b", "c"]].to_numpy(), y, weight / weight.mean())
+    return held, fit_curve(np.column_stack([measured[c] for c in "abc"]), y, weight / weight.mean())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 SENTENCE = r"[^.!?]+[.!?]+"
-ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
-VERB = r"\b[A-Za-z0-9_]*(?:ed|ing)\b"
+#: Word bounds that know ASCII letters alone.
+LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+ENTITY = LEFT + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + RIGHT
+VERB = LEFT + r"[A-Za-z0-9_]*(?:ed|ing)" + RIGHT
 
 
 def tokens(text: str | Column) -> Column:

@@ -124,10 +124,9 @@ def list_link(df, *members, **kw):
 
 def evaluation(df, predicate_name: str, *args, **kw) -> DataFrame:
     """The evaluation, its predicate and its argument list: a row of each for each row."""
-    kw_of_list = {}
     return (
         links(df, "EvaluationLink", [node_id("PredicateNode", predicate_name), link_id("ListLink", args)], **kw)
-        .unionByName(links(df, "ListLink", args, **kw_of_list))
+        .unionByName(links(df, "ListLink", args))
         .unionByName(nodes(df, "PredicateNode", predicate_name).limit(1))
     )
 

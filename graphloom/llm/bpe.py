@@ -224,7 +224,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    return map_rows(df, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 1024)
+    return map_rows(df, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 512)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ work on UTF-8 without decoding.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -91,6 +93,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows are texts: Arrow batches of a thousand, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterable[tuple]], batch: int = 1024) -> DataFrame:
     """mapInArrow for functions from a partition's column lists to output tuples.
 
@@ -101,6 +117,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterab
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema if not isinstance(schema, StructType) else schema
     arrow = to_arrow_schema(out)
 
@@ -111,8 +128,11 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterab
                     part = b.slice(k, batch)
                     yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
-        for columns in rows(lists()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        try:
+            for columns in rows(lists()):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, out)
 

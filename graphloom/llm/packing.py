@@ -28,7 +28,7 @@ from graphloom.llm.pieces import Table, numbered
 WINDOW = 2048
 END = 1
 #: Pieces that a worker keeps before it starts anew.
-CACHE = 1 << 21
+CACHE = 1 << 20
 #: Pieces that the library tokenizes in one string.
 CALL = 256
 
@@ -109,7 +109,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    return map_rows(df, f"doc_id {kind}, part int, at long, doc_tokens long, ids binary", rows, 1024)
+    return map_rows(df, f"doc_id {kind}, part int, at long, doc_tokens long, ids binary", rows, 512)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

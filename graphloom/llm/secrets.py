@@ -138,7 +138,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 k += 1
             if reached:
                 if re.fullmatch(r"\w+", name):
-                    known[name] = reached[:8] if len(reached) <= 8 else reached
+                    known[name] = reached
                 yield name, reached
 
 

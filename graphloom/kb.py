@@ -74,8 +74,9 @@ class KnowledgeBase:
         every = [self.atoms, *parts]
         rows = reduce(DataFrame.unionByName, [p.withColumn("_n", F.lit(k)) for k, p in enumerate(every)])
         take = F.max_by if overwrite else F.min_by
-        fixed = [F.min_by(c, "_n").alias(c) for c in ("type", "is_node", "name", "outgoing", "arity")]
-        merged = rows.groupBy("atom_id").agg(
+        fixed = [F.min_by(c, "_n").alias(c) for c in ("is_node", "name", "outgoing", "arity")]
+        # An id holds its type; as a key beside it, a filter on the type goes below the aggregate.
+        merged = rows.groupBy("atom_id", "type").agg(
             *fixed,
             F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_n"))).alias("embedding"),
             *(take(c, "_n").alias(c) for c in ("tv_s", "tv_c", "attention")),

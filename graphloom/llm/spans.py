@@ -3,9 +3,12 @@
 A run starts at each sentence and takes in the next ones until it has
 `min_words` words.  Each run is hashed from its words' hashes, the hashes meet
 globally, and every sentence that a repeated run covers goes, unless the run is
-the first of its kind: that of the smallest id, then the earliest.  Long
-sentences are cut further at words chosen by their hash, so a passage that
-begins in the middle of one is still found from its first chosen word on.
+the first of its kind: that of the smallest id, then the earliest.  Sentences are
+cut further behind the word of least hash of every `WINDOW` words, the last of
+equals.  A cut is the same wherever the words up to `WINDOW` - 1 around it are
+the same, and no unit is longer than `WINDOW` words.  So a passage of
+3 x `WINDOW` + 23 words (47) or more holds a whole run, wherever it begins and
+ends.
 
 Hash groups are counted with map-side aggregation (a long and a count for each);
 only runs whose hash repeats are joined back, so a passage that a third of all
@@ -30,8 +33,8 @@ from graphloom.llm.pieces import BLANK, hashes
 
 #: Words at which a run is long enough.
 MIN_WORDS = 25
-#: A sentence of more words is cut further, behind every word whose hash is 0 modulo this.
-LONG_SENTENCE, CHOSEN = 12, 6
+#: Of so many words of a sentence in a row, one ends a unit.
+WINDOW = 8
 #: A base for sums over words, other than that for sums over a word's bytes.
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -51,11 +54,7 @@ class Units(NamedTuple):
 
 
 def units(texts: list[bytes]) -> Units:
-    """A sentence ends behind `.`, `!` or `?` before white space, at a line's end and, if long, behind chosen words.
-
-    Chosen words make a passage inside a longer sentence fall into the same
-    pieces wherever it stands.
-    """
+    """A sentence ends behind `.`, `!` or `?` before white space, at a line's end and behind the least word of each window."""
     data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8), prepend=np.int8(1)))
     starts, ends = edge[::2], edge[1::2]
@@ -69,11 +68,24 @@ def units(texts: list[bytes]) -> Units:
     last[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
     last[upto[upto > 0] - 1] = True
     sentence = np.cumsum(last) - last
-    long = np.bincount(sentence)[sentence] > LONG_SENTENCE
-    cut = last | long & (h % np.uint64(CHOSEN) == 0)
+    cut = last | least(h, sentence)
     return Units(starts, h, np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1]), upto)
 
 
+def least(h: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Words that have the least hash of some window of their sentence, the last of equals."""
+    out = np.zeros(len(h), bool)
+    n = len(h) - WINDOW + 1
+    if n > 0:
+        low, at = h[WINDOW - 1 :].copy(), np.arange(WINDOW - 1, len(h))
+        for k in range(WINDOW - 2, -1, -1):
+            less = h[k : k + n] < low
+            np.copyto(low, h[k : k + n], where=less)
+            np.copyto(at, np.arange(k, k + n), where=less)
+        out[at[sentence[:n] == sentence[WINDOW - 1 :]]] = True
+    return out
+
+
 def sentences(data: bytes) -> list[tuple[int, int]]:
     """Bounds of a text's sentences in UTF-8, the space behind each included."""
     u = units([data])

@@ -125,12 +125,21 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of these rows, each query's k nearest: (query's place, row's place, score)."""
+    """Of these rows, each query's k nearest, an id once with its best score: (query's place, row's place, score)."""
     s = unit(q) @ unit(v).T
     s[q_id[:, None] == v_id[None, :]] = -np.inf
-    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    by_id = np.argsort(v_id, kind="stable")
+    first = np.flatnonzero(np.diff(v_id[by_id], prepend=v_id[by_id[:1]] - 1))
+    of_id = s if len(first) == len(v_id) else np.maximum.reduceat(s[:, by_id], first, axis=1)
+    least = np.partition(of_id, -k, axis=1)[:, -k] if of_id.shape[1] > k else np.full(len(s), -np.inf)
     rows, cols = np.nonzero((s >= (least - SLACK)[:, None]) & np.isfinite(s))
     score = np.concatenate([cosines(q[rows[i : i + 50_000]], v[cols[i : i + 50_000]]) for i in range(0, len(rows), 50_000)] or [np.empty(0)])
+    if len(first) < len(v_id):
+        order = np.lexsort((-score, v_id[cols], rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        once = np.ones(len(rows), bool)
+        once[1:] = (rows[1:] != rows[:-1]) | (v_id[cols[1:]] != v_id[cols[:-1]])
+        rows, cols, score = rows[once], cols[once], score[once]
     order = np.lexsort((v_id[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     begin = np.flatnonzero(np.diff(rows, prepend=-1))

@@ -103,6 +103,36 @@ def lines(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
+def typed(tokens: list[tuple[str, str, int, int]], k: int) -> int:
+    """The place behind the `=` that follows a type annotation at k on the same line; 0 if there is none."""
+    depth = 0
+    for n in range(k, min(len(tokens), k + 64)):
+        kind, word = tokens[n][:2]
+        if word in ("[", "(", "<", "{"):
+            depth += 1
+        elif word in ("]", ")", ">", "}"):
+            depth -= 1
+            if depth < 0:
+                return 0
+        elif word == "=" and not depth:
+            return n + 1 if n > k else 0
+        elif kind == "op" or kind in ("string", "ref") and not depth or word in (",", ";") and not depth:
+            return 0
+    return 0
+
+
+def declared(text: str, tokens: list[tuple[str, str, int, int]], k: int) -> str | None:
+    """The name before the type at k that is followed by a sign and a string: `token string = "..."`."""
+    if k + 2 >= len(tokens) or tokens[k + 2][0] != "string" or tokens[k + 1][1] not in ("=", ":="):
+        return None
+    at = k - 1
+    while at >= 0 and tokens[at][1] in ("*", "[", "]", "&"):
+        at -= 1
+    if at < 0 or tokens[at][0] != "name" or not text[tokens[at][3] : tokens[at + 1][2]].isspace():
+        return None
+    return tokens[at][1]
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """(target name, spans of the literals that reach it), constants followed."""
     known: dict[str, list[tuple[int, int]]] = {}
@@ -115,6 +145,10 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             if not (kind in ("name", "string") and k + 2 < len(tokens) and tokens[k + 1][1] in SIGNS and name):
                 k += 1
                 continue
+            names = [name]
+            if kind == "name" and (of := declared(text, tokens, k)):
+                names.append(of)
+            annotated = typed(tokens, k + 2) if tokens[k + 1][1] == ":" else 0
             reached: list[tuple[int, int]] = []
             k += 2
             while k < len(tokens):
@@ -133,13 +167,17 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                     while k + 1 < len(tokens) and tokens[k + 1][2] < end:
                         k += 1
                 k += 1
-                if not (k < len(tokens) and tokens[k][1] == "+"):
+                if k < len(tokens) and tokens[k][1] == "+":
+                    k += 1
+                elif annotated:  # what was read is a type; the value is behind its `=`
+                    k, annotated = max(k, annotated), 0
+                else:
                     break
-                k += 1
             if reached:
-                if re.fullmatch(r"\w+", name):
-                    known[name] = reached
-                yield name, reached
+                for name in names:
+                    if re.fullmatch(r"\w+", name):
+                        known[name] = reached
+                    yield name, reached
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

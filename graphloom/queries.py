@@ -1118,6 +1118,17 @@ def x15_describe(spark, sf):
     return vision.describe(d, vision.relations(d)).where(~F.col("description").contains(" and ") & ~F.col("description").contains(","))
 
 
+@q("WITH " + BOX + """, p AS (SELECT a.scene_id, a.ord AS o1, b.ord AS o2, a.label AS object1, b.label AS object2, round(b.x + b.width / 2, 9) - round(a.x + a.width / 2, 9) AS dx, round(b.y + b.height / 2, 9) - round(a.y + a.height / 2, 9) AS dy FROM x a JOIN x b ON a.scene_id = b.scene_id AND a.ord < b.ord),
+s AS (SELECT scene_id, string_agg('The ' || object1 || ' is ' || CASE WHEN sqrt(dx * dx + dy * dy) < 0.2 THEN 'near' WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'right-of' ELSE 'left-of' END WHEN dy > 0 THEN 'below' ELSE 'above' END || ' the ' || object2 || '.', ' ' ORDER BY o1, o2) AS said FROM p GROUP BY scene_id),
+t AS (SELECT scene_id, list('a ' || label ORDER BY ord) AS things FROM x GROUP BY scene_id)
+SELECT scene_id, 'The scene contains ' || CASE WHEN len(things) = 1 THEN things[1] ELSE array_to_string(things[1:len(things) - 1], ', ') || ' and ' || things[len(things)] END || '.' || coalesce(' ' || said, '') AS description FROM t LEFT JOIN s USING (scene_id)""")
+def x15_descriptions(spark, sf):
+    """Every scene's whole description; x15_describe has those of one object."""
+    d = _boxes(spark, sf)
+    d = d.withColumn("x", F.round(F.col("x") + F.col("width") / 2, 9)).withColumn("y", F.round(F.col("y") + F.col("height") / 2, 9)).withColumn("width", F.lit(0.0)).withColumn("height", F.lit(0.0))
+    return vision.describe(d, vision.relations(d))
+
+
 # Numbers and arrays
 
 

@@ -79,8 +79,8 @@ class WordPiece:
     def tokenize(self, text: str) -> list[str]:
         return [p for w in self.basic(text) for p in self.pieces(w)]
 
-    def encode(self, text: str, longest: int = 512, special: bool = True) -> list[int]:
-        """Ids, cut at the length: the closing mark may fall off."""
+    def encode(self, text: str, longest: int | None = 512, special: bool = True) -> list[int]:
+        """Ids, cut at the length if there is one: the closing mark may fall off."""
         ids = [self.vocabulary.token_to_id(t) for t in self.tokenize(text)]
         return ([CLS, *ids, SEP] if special else ids)[:longest]
 
@@ -140,7 +140,8 @@ def encoder(df: DataFrame, tokenizer, column: str, **options) -> Column:
 
 
 def padded(ids: Column, length: int) -> Column:
-    """(ids, mask, type ids) filled to a length."""
+    """(ids, mask, type ids) cut or filled to a length."""
+    ids = F.slice(ids, 1, length)
     n = F.size(ids)
     fill = lambda x: F.array_repeat(F.lit(x), F.greatest(F.lit(length) - n, F.lit(0)))
     return F.struct(F.concat(ids, fill(PAD)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), n), fill(0)).alias("mask"), F.array_repeat(F.lit(0), length).alias("type_ids"))

@@ -1048,8 +1048,8 @@ def _pieces(spark, sf) -> tokenizer.Vocabulary:
 @q()
 def x9_x10_word_piece(spark, sf):
     d = load(spark, sf, "benchmark")
-    ids = tokenizer.encoder(d, tokenizer.WordPiece(_pieces(spark, sf)), "text", longest=64)
-    return d.select("item_id", ids.alias("ids")).select("item_id", F.size("ids").alias("n"), tokenizer.padded(F.col("ids"), 64).alias("p")).select("item_id", "n", "p.*")
+    ids = tokenizer.encoder(d, tokenizer.WordPiece(_pieces(spark, sf)), "text", longest=None)
+    return d.select("item_id", ids.alias("ids")).select("item_id", F.size("ids").alias("n"), tokenizer.padded(F.col("ids"), 512).alias("p")).select("item_id", "n", "p.*")
 
 
 @q()

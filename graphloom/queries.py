@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom import schema, views
+from graphloom import schema, store, views
 from graphloom.functions import numeric, text, tokenizer, truth, vector
 from graphloom.functions.truth import TV
 from graphloom.kb import KnowledgeBase
@@ -194,8 +194,8 @@ def s14_parquet_round_trip(spark, sf):
 
     from graphloom.sources import tables
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/kb-{uuid.uuid4().hex}"
+    base = store.checkpoint_dir(spark)
+    path = f"{base}/kb-{uuid.uuid4().hex}"
     tables.write(views.taxonomy(spark, sf), path)
     back = tables.read(spark, path)
     kind = F.split_part(schema.name_of("dst"), F.lit(":"), F.lit(1)).alias("kind")

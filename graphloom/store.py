@@ -25,11 +25,22 @@ def ship(spark: SparkSession) -> None:
     sc._graphloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written to spark.checkpoint.dir; a folder is set here only if none is."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's; a folder is made here only for a local master."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder: lineage ends there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from graphloom.llm.common import map_rows
-from graphloom.llm.pieces import Table, numbered
+from graphloom.llm.common import file_text, map_rows
+from graphloom.llm.pieces import Pieces, numbered
 
 #: Python's str.split() also cuts at these four; the tokenizer's \s doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -52,11 +52,10 @@ def _byte_symbols() -> list[str]:
 
 
 class Bpe:
-    """A word-level BPE model read from a tokenizers JSON file."""
+    """A word-level BPE model of a tokenizers JSON text."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, text: str):
+        spec = json.loads(text)
         model = spec["model"]
         end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -66,7 +65,7 @@ class Bpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
         # Character classes of rare scripts differ by Unicode version; the library's own rules hold there.
-        self.rare_normal = Tokenizer.from_file(path).normalizer.normalize_str
+        self.rare_normal = Tokenizer.from_str(text).normalizer.normalize_str
         self.rare_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         symbols = _byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
@@ -166,16 +165,16 @@ def _alternate(take: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def model(path: str) -> Bpe:
-    """The model, read once a worker."""
-    return Bpe(path)
+def model(spec: str) -> Bpe:
+    """The model of a tokenizer file's text, made once a worker."""
+    return Bpe(spec)
 
 
 class Encoded:
     """Pieces that this worker has encoded: number of ids, ids and tokens as text, by number."""
 
-    def __init__(self, path: str):
-        self.bpe, self.table = model(path), Table(CACHE)
+    def __init__(self, spec: str):
+        self.bpe, self.known = model(spec), Pieces(CACHE)
         self.clear()
 
     def clear(self) -> None:
@@ -194,7 +193,7 @@ class Encoded:
 
     def digest(self, texts: list[bytes]) -> tuple[list[int], list[str], list[str]]:
         """Per text: number of ids, and the hashes of ids and tokens."""
-        at, count = numbered(texts, self.table, self.learn, self.clear)
+        at, count = numbered(texts, self.known, self.learn, self.clear)
         ends = np.cumsum(count).tolist()
         at = at.tolist()
         n, ids, shown, lo = [], [], [], 0
@@ -210,15 +209,17 @@ class Encoded:
 
 
 @lru_cache(1)
-def _encoded(path: str) -> Encoded:
-    return Encoded(path)
+def _encoded(spec: str) -> Encoded:
+    return Encoded(spec)
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_tokens and the SHA-256 of its ids and of its decoded text."""
 
+    held = file_text(docs.sparkSession, path)
+
     def rows(batches):
-        cache = _encoded(path)
+        cache = _encoded(held.value)
         for b in batches:
             yield b["doc_id"], *cache.digest([t or b"" for t in b["text"]])
 
@@ -230,8 +231,10 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its token ids (array<int>) and the decoded text."""
 
+    held = file_text(docs.sparkSession, path)
+
     def rows(batches):
-        bpe = model(path)
+        bpe = model(held.value)
         for b in batches:
             split = [pieces(t or "") for t in b["text"]]
             unique = list(dict.fromkeys(chain.from_iterable(split)))

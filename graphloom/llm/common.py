@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.store import ship
+from graphloom.store import checkpoint_dir, ship
 
 #: Java and RE2 class of the characters that part words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -54,15 +54,14 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else one set here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/graphloom"
+    """A folder that driver and executors share: spark.checkpoint.dir; one is made only if the master is local."""
+    return f"{checkpoint_dir(spark)}/graphloom"
+
+
+def file_text(spark: SparkSession, path: str) -> Broadcast:
+    """The text of a file on the driver, such as a tokenizer's, for executors that don't have the file."""
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -76,9 +75,25 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+#: Tables made since each open `scratch` began.
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are materialised inside, but for those taken off the list."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        discard(*_open.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for df in tables:
@@ -146,3 +161,19 @@ def local(df: DataFrame) -> dict[str, np.ndarray]:
 def sides(left: DataFrame, small: DataFrame, on, how: str, rows: int, bound: int = 50_000) -> DataFrame:
     """Join; the small side is broadcast only if its counted rows are within the bound."""
     return left.join(F.broadcast(small) if rows <= bound else small, on, how)
+
+
+#: A key with more than one of so many rows is heavy; there are at most this many such keys.
+HEAVY = 10_000
+
+
+def share_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Join of rows with one row a key, whose column `n` counts the key's rows among all `total`.
+
+    Heavy keys are broadcast: by their counts they are at most HEAVY.  The other
+    keys go through a shuffle in which none has more than 1 / HEAVY of the rows.
+    A left join keeps rows without a group, null keys among them.
+    """
+    bound = total // HEAVY
+    heavy, light = F.broadcast(groups.where(F.col("n") > bound).drop("n")), groups.where(F.col("n") <= bound).drop("n")
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(keys), keys, "left_anti").join(light, keys, how))

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_rows, materialise
-from graphloom.llm.pieces import Table, numbered
+from graphloom.llm.common import file_text, map_rows, materialise
+from graphloom.llm.pieces import Pieces, numbered, room
 
 #: Ids of a sequence, the id after each document.
 WINDOW = 2048
@@ -36,14 +36,14 @@ CALL = 256
 class _Cache:
     """Ids of pieces that this worker's tokenizer has met, in one flat array."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = Table(CACHE)
+        self.known = Pieces(CACHE)
         self.clear()
 
     def clear(self) -> None:
@@ -67,8 +67,8 @@ class _Cache:
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = self.n, self.n + len(sizes)
-        self.ids = _room(self.ids, self.used + len(ids))
-        self.start, self.size = _room(self.start, m), _room(self.size, m)
+        self.ids = room(self.ids, self.used + len(ids))
+        self.start, self.size = room(self.start, m), room(self.size, m)
         self.ids[self.used : self.used + len(ids)] = ids
         self.size[n:m] = sizes
         self.start[n:m] = self.used + np.cumsum(sizes) - sizes
@@ -76,7 +76,7 @@ class _Cache:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a batch of texts end to end, and each text's number of ids."""
-        at, count = numbered(texts, self.table, self.learn, self.clear)
+        at, count = numbered(texts, self.known, self.learn, self.clear)
         size = self.size[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         bounds = ends[np.concatenate([[0], np.cumsum(count)])]
@@ -84,21 +84,19 @@ class _Cache:
         return ids, np.diff(bounds)
 
 
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-
 @lru_cache(1)
-def _cache(path: str) -> _Cache:
-    return _Cache(path)
+def _cache(spec: str) -> _Cache:
+    return _Cache(spec)
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its ids with the end id as little-endian 32-bit, and its place in its partition."""
 
+    held = file_text(docs.sparkSession, path)
+
     def rows(batches):
         part, at = TaskContext.get().partitionId(), 0
-        cache = _cache(path)
+        cache = _cache(held.value)
         for b in batches:
             ids, n = cache.encode([t or b"" for t in b["text"]])
             ends = np.cumsum(n)

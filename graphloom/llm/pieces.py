@@ -1,19 +1,21 @@
 """Pieces of text between white space, numbered by the batch in numpy.
 
-A batch's bytes are hashed all together: prefix sums of random byte values times
-powers of an odd base give every piece's 64-bit hash from two differences.  An
-open-addressing table in two flat arrays turns hashes to numbers.  Only pieces
-that the table lacks become strings.  Pieces longer than LONGEST bytes are never
-looked up, as the hash is meant for short ones.
+A piece's bytes are read as 64-bit words and mixed word by word into a hash, all
+pieces of a batch together.  An open-addressing table turns hashes to numbers,
+and a hit counts only if the bytes agree: the words of every numbered piece are
+kept.  A piece whose hash another piece has is learned anew each time, as are
+pieces longer than LONGEST bytes, so numbers are exact for any text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
+import xxhash
 
 LONGEST = 256
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 #: ASCII white space of the tokenizer, and first bytes of other white space in UTF-8 with what may follow.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -21,25 +23,38 @@ LEAD = np.zeros(256, bool)
 LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 WIDE = [bytes(chr(c), "utf-8") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 CODES = {n: np.array([int.from_bytes(w, "big") for w in WIDE if len(w) == n]) for n in (2, 3)}
-SALT = np.random.default_rng(2024).integers(1, 2**64, 256, dtype=np.uint64)
-
-
-def _powers(x: int, n: int) -> np.ndarray:
-    out = np.full(n, x, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Powers:
-    """Powers of the base and of its inverse, as many as the longest stretch has needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> None:
-        if n >= len(cls.up):
-            size = max(n + 1, 1 << 16)
-            cls.up, cls.down = _powers(BASE, size), _powers(INVERSE, size)
+#: The first k bytes of a word.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+class Batch(NamedTuple):
+    """Pieces of a batch: its bytes (eight zeros behind them), and each piece's start, size, first word and hash."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    word: np.ndarray
+    hashes: np.ndarray
+
+    def load(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The k-th word of the pieces `at`, which have more than 8 k bytes."""
+        rows = np.lib.stride_tricks.as_strided(self.data, (len(self.data) - 7, 8), (1, 1))
+        return rows[self.starts[at] + 8 * k].view("<u8").ravel() & MASK[np.minimum(self.sizes[at] - 8 * k, 8)]
+
+    def raw(self, at: np.ndarray) -> list[bytes]:
+        whole = self.data.tobytes()
+        return [whole[s : s + n] for s, n in zip(self.starts[at].tolist(), self.sizes[at].tolist())]
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pieces a and b, at most LONGEST long, have the same bytes."""
+        out = (self.sizes[a] == self.sizes[b]) & (self.word[a] == self.word[b])
+        live, k = np.flatnonzero(out & (self.sizes[a] > 8)), 1
+        while len(live):
+            out[live] = self.load(k, a[live]) == self.load(k, b[live])
+            k += 1
+            live = live[out[live] & (self.sizes[a[live]] > 8 * k)]
+        return out
 
 
 def bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,29 +68,38 @@ def bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 blank[hit + k] = True
             code = code << 8 | data[np.minimum(at + 2, len(data) - 1)]
+    return edges(blank)
+
+
+def edges(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches between blanks; the last byte is one."""
     edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
     return edge[::2], edge[1::2]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
-    """64-bit hash of each piece, never 0."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        base = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, base + stretch, "right")))
-        part = data[base : ends[hi - 1]]
-        Powers.to(len(part))
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(SALT[part] * Powers.up[: len(part)], out=sums[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (sums[e] - sums[s]) * Powers.down[s]
-        lo = hi
-    out ^= out >> np.uint64(31)
-    out += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out *= np.uint64(BASE)
-    out[out == 0] = 1
+def batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> Batch:
+    """The pieces with their 64-bit hashes, which are never 0."""
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) * MIX[0] ^ np.uint64(xxhash.xxh64_intdigest(b"", seed & (1 << 64) - 1))
+    out = Batch(data, starts, sizes, np.empty(0, np.uint64), h)
+    live = np.arange(len(starts))
+    first = out.load(0, live)
+    out = out._replace(word=first)
+    x, k = first, 0
+    while len(live):
+        v = (h[live] if k else h) ^ x
+        v *= MIX[1]
+        v ^= v >> np.uint64(29)
+        v *= MIX[2]
+        v ^= v >> np.uint64(32)
+        h[live] = v
+        k += 1
+        live = live[(sizes[live] > 8 * k) & (sizes[live] <= LONGEST)]
+        x = out.load(k, live) if len(live) else x
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed & (1 << 64) - 1)
+    h[h == 0] = 1
     return out
 
 
@@ -120,34 +144,84 @@ class Table:
         self.n += len(h)
 
 
-def numbered(texts: list[bytes], table: Table, learn, clear) -> tuple[np.ndarray, np.ndarray]:
+def room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+class Pieces:
+    """Exact numbers of at most `most` pieces: the table, and the words of each piece."""
+
+    def __init__(self, most: int):
+        self.table = Table(most)
+        self.clear()
+
+    def clear(self) -> None:
+        self.table.clear()
+        self.size, self.word, self.begin, self.number = (np.empty(1 << 12, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        self.more, self.used = np.empty(1 << 12, np.uint64), 0
+
+    def find(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's number (-1: not there), and which pieces may be added: no other has their hash."""
+        at = self.table.find(b.hashes)
+        hit = np.flatnonzero(at >= 0)
+        own = at[hit]
+        ok = (self.size[own] == b.sizes[hit]) & (self.word[own] == b.word[hit])
+        live, k = np.flatnonzero(ok & (b.sizes[hit] > 8)), 1
+        while len(live):
+            ok[live] = self.more[self.begin[own[live]] + k - 1] == b.load(k, hit[live])
+            k += 1
+            live = live[ok[live] & (b.sizes[hit[live]] > 8 * k)]
+        out = np.full(len(at), -1)
+        out[hit[ok]] = self.number[own[ok]]
+        free = (at < 0) & (b.sizes <= LONGEST)
+        return out, free
+
+    def add(self, b: Batch, at: np.ndarray, numbers: np.ndarray) -> None:
+        """Keeps the pieces `at`, whose hashes differ and aren't there."""
+        n, m = self.table.n, self.table.n + len(at)
+        for name, x in (("size", b.sizes[at]), ("word", b.word[at]), ("number", numbers)):
+            a = room(getattr(self, name), m)
+            a[n:m] = x
+            setattr(self, name, a)
+        words = (b.sizes[at] - 1) // 8
+        self.begin = room(self.begin, m)
+        self.begin[n:m] = self.used + np.cumsum(words) - words
+        self.used += int(words.sum())
+        self.more = room(self.more, self.used)
+        live, k = np.flatnonzero(words), 1
+        while len(live):
+            self.more[self.begin[n + live] + k - 1] = b.load(k, at[live])
+            k += 1
+            live = live[words[live] >= k]
+        self.table.add(b.hashes[at], np.arange(n, m))
+
+
+def numbered(texts: list[bytes], known: Pieces, learn: Callable[[list[str]], np.ndarray], clear: Callable[[], None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Number of each piece of a batch of UTF-8 texts end to end, and each text's number of pieces.
 
-    `learn(pieces)` takes distinct new pieces and gives their numbers; `clear()`
-    forgets all, when the table is full.
+    `learn(pieces)` gives the numbers of new pieces; `clear()` forgets all, when
+    the table is full.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     starts, ends = bounds(data)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     count = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)])))
-    h = hashes(data, starts, ends)
-    if table.n > table.most * 3 // 4:
-        table.clear()
+    b = batch(data, starts, ends, seed)
+    if known.table.n > known.table.most * 3 // 4:
+        known.clear()
         clear()
-    out = table.find(h)
-    long = ends - starts > LONGEST
-    out[long] = -1
-    new = np.flatnonzero((out < 0) & ~long)
+    out, free = known.find(b)
+    new = np.flatnonzero((out < 0) & free)
     if len(new):
-        distinct, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        numbers = np.asarray(learn([raw[starts[k] : ends[k]].decode() for k in new[first].tolist()]))
-        out[new] = numbers[back]
+        _, first, back = np.unique(b.hashes[new], return_index=True, return_inverse=True)
+        first = new[first]
+        numbers = np.asarray(learn([x.decode() for x in b.raw(first)]))
+        alike = b.same(new, first[back])
+        out[new[alike]] = numbers[back[alike]]
         # The rest of a batch that overfills the table is learned again later.
-        room = max(0, table.most - table.n)
-        table.add(distinct[:room], numbers[:room])
-    if long.any():
-        raw = data.tobytes()
-        k = np.flatnonzero(long)
-        out[k] = learn([raw[starts[i] : ends[i]].decode() for i in k.tolist()])
+        fits = max(0, known.table.most - known.table.n)
+        known.add(b, first[:fits], numbers[:fits])
+    rest = np.flatnonzero(out < 0)
+    if len(rest):
+        out[rest] = learn([x.decode() for x in b.raw(rest)])
     return out, count

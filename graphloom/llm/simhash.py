@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lower_words, map_rows, materialise, ship, sides
+from graphloom.llm.common import lower_words, map_rows, materialise, share_join, ship
 from graphloom.llm.components import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
@@ -217,24 +217,25 @@ def _by_neighbours(classes: DataFrame, bits: int) -> DataFrame:
         raise ValueError("meeting points are for links of two bits")
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     met = classes.select("fp", F.explode(around).alias("point"))
+    # At most 65 fingerprints a point, so this join has no hot key.
     least = met.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "v")
     return met.join(least, "point").select(F.col("fp").alias("u"), "v").where("u != v").distinct()
 
 
 def component_ids(fps: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """(fp, component_id) of rows (doc_id, fp): the least id reachable from each fingerprint."""
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    """(fp, component_id, n) of rows (doc_id, fp): the least id reachable from each fingerprint, and its rows."""
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
     roots = materialise(components(links(classes, bits)), "roots")
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.join(least, "root").select("fp", "component_id")
+    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return share_join(joined, least, ["root"], classes.count()).select("fp", "component_id", F.col("rows").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
     """Per document: its fingerprint and its component's least id."""
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialise(component_ids(fps, bits), "components")
-    joined = sides(fps, classes, "fp", "left", classes.count())
+    joined = share_join(fps, classes, ["fp"], fps.count())
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -247,6 +248,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialise(plain, "numbered")
     fps = materialise(fingerprints(rows, i, t, keep=["_at"]), "fingerprints")
     classes = materialise(component_ids(fps.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "fp"), bits), "components")
-    member = sides(fps, classes, "fp", "left", classes.count())
+    member = share_join(fps, classes, ["fp"], fps.count())
     best = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at"))["_at"].alias("_at")).select("_at")
     return rows.join(best.hint("shuffle_hash"), "_at", "left_semi").drop("_at").toDF(*names)

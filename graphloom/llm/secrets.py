@@ -1,11 +1,18 @@
 """Operator 1: secret scan by assignment-aware lexing.
 
 Three base patterns are matched over the whole text.  Beside them, lines that
-hold an assignment sign are lexed as source or configuration: names, operators,
+hold an assignment sign (also subscripts, type annotations, `#define`, triple
+quotes and block scalars) are lexed as source or configuration: names, operators,
 string literals and bare values become name-literal pairs; constants propagate
-through later assignments, `+` and `${NAME}`; a literal counts as a secret if
-the sensitivity of a name that it reaches and its own make-up score enough.
-Such a literal is a span of kind `pair` unless a base span covers it.
+through later assignments, `+`, `+=` and `${NAME}`; a literal counts as a secret
+if the sensitivity of a name that it reaches and its own make-up score enough.
+So does a constant put together from literals, as a whole, if it has at most
+`JOINED` characters (longer ones count by their literals alone).  Such a literal
+is a span of kind `pair` unless a base span covers it.
+
+Constants are nodes of a graph that later constants share, and a literal is
+visited again only for a more sensitive name, so the work is in proportion to
+the text however constants are combined.
 
 Defined cases: a null text is an empty one; both have no spans.  Rows are
 independent, so null ids, repeated rows and extra columns need no rule.  Texts
@@ -15,10 +22,14 @@ and lines of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -45,8 +56,9 @@ ENOUGH = 5.0
 STAND_IN = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|0+|1234567890?|changeme|change_me|placeholder|example.*|your[-_].*|dummy.*|test|none|null|true|false|undefined|redacted|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 
 TOKEN = re.compile(
-    r"""(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)"""
-    r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
+    r"""(?P<triple>\"{3}(?:\\[\s\S]|[^\\])*?\"{3}|'{3}(?:\\[\s\S]|[^\\])*?'{3})"""
+    r"""|(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)"""
+    r"""|(?P<op>:=|\+=|=>|==|!=|<=|>=|[=:+])"""
     r"""|(?P<ref>\$\{[A-Za-z_]\w*\}|\$[A-Za-z_]\w*)"""
     r"""|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)"""
     r"""|(?P<raw>[A-Za-z0-9/@%~^!?_.-][^\s"'`,;()\[\]{}]*)"""
@@ -54,7 +66,12 @@ TOKEN = re.compile(
 )
 BARE = re.compile(r"""[^\s"'`,;()\[\]{}]+""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-SIGNS = frozenset((":", "=", ":=", "=>"))
+SIGNS = frozenset((":", "=", ":=", "=>", "+="))
+DEFINE = re.compile(r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)[ \t]+(\S.*)$", re.MULTILINE)
+#: A key whose value is the more indented lines below.
+SCALAR = re.compile(r"""([ \t-]*)["']?([A-Za-z_][\w.-]*)["']?[ \t]*:[ \t]*[|>][+-]?\d?[ \t]*$""")
+#: Characters of a constant that is scored as a whole.
+JOINED = 4096
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,7 +102,7 @@ def literal_score(value: str) -> float:
 
 
 def lines(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the logical lines that hold an assignment sign: a line ending in one, `+`, `(` or a backslash goes on."""
+    """Bounds of the logical lines that hold an assignment sign: a line ending in one, `+`, `(` or a backslash goes on, as does one in triple quotes."""
     at, n = 0, len(text)
     while at < n:
         colon, equal = text.find(":", at), text.find("=", at)
@@ -99,6 +116,10 @@ def lines(text: str) -> Iterator[tuple[int, int]]:
             sign = end
             end = text.find("\n", end + 1)
             end = n if end < 0 else end
+        for quote in ('"' * 3, "'" * 3):
+            if text.count(quote, start, end) % 2 and (close := text.find(quote, end)) >= 0:
+                end = text.find("\n", close)
+                end = n if end < 0 else end
         yield start, end
         at = end + 1
 
@@ -133,66 +154,148 @@ def declared(text: str, tokens: list[tuple[str, str, int, int]], k: int) -> str
     return tokens[at][1]
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(target name, spans of the literals that reach it), constants followed."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    for lo, hi in lines(text):
+@dataclass(eq=False)
+class Constant:
+    """What a name holds: literals (spans), other constants, and all of it as one string if that isn't too long."""
+
+    literals: list[tuple[int, int]]
+    parts: list[Constant]
+    value: str | None
+    weight: float = 0.0
+
+    def reached(self, least: float) -> Iterator[Constant]:
+        """This constant and those it holds that no name of such a weight has reached before."""
+        todo = [self]
+        while todo:
+            c = todo.pop()
+            if c.weight < least:
+                c.weight = least
+                yield c
+                todo += c.parts
+
+
+def constant(text: str, found: list[tuple[int, int] | Constant]) -> Constant:
+    """The constant put together from literals and constants, in order."""
+    if len(found) == 1 and isinstance(found[0], Constant):
+        return found[0]
+    values = [x.value if isinstance(x, Constant) else text[x[0] : x[1]] for x in found]
+    whole = None if None in values or sum(map(len, values)) > JOINED else "".join(values)
+    return Constant([x for x in found if not isinstance(x, Constant)], [x for x in found if isinstance(x, Constant)], whole)
+
+
+def inner(kind: str, word: str, start: int, text: str) -> list[tuple[int, int]]:
+    """Literals of a string token: what is between the quotes, line by line in triple ones."""
+    if kind == "string":
+        return [(start + 1, start + len(word) - 1)]
+    return [(start + 3 + m.start(), start + 3 + m.end()) for m in re.finditer(r"\S(?:.*\S)?", word[3:-3])]
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], Constant]]:
+    """(names, what they get), in order; constants are followed."""
+    known: dict[str, Constant] = {}
+
+    def events():
+        return heapq.merge(((lo, 0, hi, None) for lo, hi in lines(text)), ((m.start(), 1, m.end(), m) for m in DEFINE.finditer(text)), key=lambda e: e[:2])
+
+    def keep(names: list[str], found: list, grows: bool = False) -> Iterator[tuple[list[str], Constant]]:
+        if grows and names[0] in known:
+            found = [known[names[0]], *found]
+        if found:
+            made = constant(text, found)
+            for name in names:
+                if re.fullmatch(r"\w+", name):
+                    known[name] = made
+            yield names, made
+
+    for lo, _, hi, define in events():
+        if define:
+            tokens = [(m.lastgroup, m.group(), m.start()) for m in TOKEN.finditer(text, define.start(2), hi)]
+            found = [x for kind, word, start in tokens if kind in ("string", "triple") for x in inner(kind, word, start, text)]
+            found += [known[word] for kind, word, _ in tokens if kind == "name" and word in known]
+            yield from keep([define[1]], found)
+            continue
+        if (m := SCALAR.match(text, lo, hi)) and hi < len(text):
+            yield from keep([m[2]], scalar(text, hi + 1, len(m[1])))
+            continue
         tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
         k = 0
-        while k + 2 < len(tokens) + 1:
+        while k + 2 < len(tokens):
             kind, word, start, _ = tokens[k]
             name = word[1:-1] if kind == "string" else word
-            if not (kind in ("name", "string") and k + 2 < len(tokens) and tokens[k + 1][1] in SIGNS and name):
+            sign = k + 2 if tokens[k + 1][1] == "]" else k + 1
+            if not (kind in ("name", "string") and sign + 1 < len(tokens) and tokens[sign][1] in SIGNS and name):
                 k += 1
                 continue
             names = [name]
-            if kind == "name" and (of := declared(text, tokens, k)):
+            if kind == "name" and sign == k + 1 and (of := declared(text, tokens, k)):
                 names.append(of)
-            annotated = typed(tokens, k + 2) if tokens[k + 1][1] == ":" else 0
-            reached: list[tuple[int, int]] = []
-            k += 2
+            grows = tokens[sign][1] == "+="
+            annotated = typed(tokens, sign + 1) if tokens[sign][1] == ":" else 0
+            found: list[tuple[int, int] | Constant] = []
+            k = sign + 1
             while k < len(tokens):
                 kind, word, start, end = tokens[k]
-                if kind == "string":
-                    reached.append((start + 1, end - 1))
+                if kind in ("string", "triple"):
+                    found += inner(kind, word, start, text)
                 elif kind == "ref" and word.strip("${}") in known:
-                    reached += known[word.strip("${}")]
+                    found.append(known[word.strip("${}")])
                 elif kind == "name" and word in known:
-                    reached += known[word]
+                    found.append(known[word])
                 elif kind in ("name", "raw"):
                     bare = BARE.match(text, start, hi)
                     end = bare.end() if bare else end
                     if not (k + 1 < len(tokens) and tokens[k + 1][1] in ("(", "[")):
-                        reached.append((start, end))
+                        found.append((start, end))
                     while k + 1 < len(tokens) and tokens[k + 1][2] < end:
                         k += 1
+                elif word == "(" and not found and k + 1 < len(tokens):
+                    k += 1
+                    continue
                 k += 1
                 if k < len(tokens) and tokens[k][1] == "+":
                     k += 1
+                elif k < len(tokens) and kind == "string" and tokens[k][0] == "string" and text[end : tokens[k][2]].isspace():
+                    pass
                 elif annotated:  # what was read is a type; the value is behind its `=`
-                    k, annotated = max(k, annotated), 0
+                    k, annotated, found = max(k, annotated), 0, []
                 else:
                     break
-            if reached:
-                for name in names:
-                    if re.fullmatch(r"\w+", name):
-                        known[name] = reached
-                    yield name, reached
+            yield from keep(names, found, grows)
+
+
+def scalar(text: str, at: int, indent: int) -> list[tuple[int, int]]:
+    """The lines from a place on that are indented further, stripped."""
+    out = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            lead = len(line) - len(line.lstrip())
+            if lead <= indent:
+                break
+            out.append((at + lead, at + len(line.rstrip())))
+        at = end + 1
+    return out
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with the lexer's."""
     base = base_spans(text)
-    if ":" not in text and "=" not in text:
+    if ":" not in text and "=" not in text and "define" not in text:
         return base, base
-    found = set()
-    for name, reached in pairs(text):
-        if (weight := name_score(name)) < 1.5:
+    starts, far = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    found: set[tuple[int, int]] = set()
+    for names, made in assignments(text):
+        weight = max(map(name_score, names))
+        if weight < 1.5:
             continue
-        for lo, hi in reached:
-            if weight + literal_score(text[lo:hi]) >= ENOUGH and not any(s <= lo and hi <= e for s, _, e in base):
-                found.add((lo, 3, hi))
-    return base, sorted(base + list(found)) if found else base
+        if len(made.literals) + len(made.parts) > 1 and made.value and weight + literal_score(made.value) >= ENOUGH:
+            weight = math.inf
+        for c in made.reached(weight):
+            found.update(x for x in c.literals if x[0] < x[1] and weight + literal_score(text[x[0] : x[1]]) >= ENOUGH)
+    own = [(lo, 3, hi) for lo, hi in found if not ((k := bisect_right(starts, lo)) and far[k - 1] >= hi)]
+    return base, sorted(base + own) if own else base
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

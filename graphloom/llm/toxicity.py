@@ -1,22 +1,25 @@
 """Operator 4: toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary text, share their backoff: below a
-class's bigrams lie its unigrams, and below these the continuation counts of
-both classes together, so an expression that is rare in either class is smoothed
-by what all text says of it.  A document is compared by log-likelihood a token:
-over the whole text, and over its most telling tokens.  A token's ratio counts for as much as
-there are documents behind it.  A logistic curve, fitted on labelled rows that
-the counts don't hold, turns both into a score.  Counts are of documents, and of
-rows with equal texts one is counted, so copies prove nothing.
-
-The models come from a bounded sample of labelled rows: of each class the
-`sample` rows whose hashed ids are least.  They are broadcast; what is broadcast
-is bounded by that sample.  All texts are scored whole.
+Two bigram models, of toxic and of ordinary text, count tokens and share their
+backoff: below a class's bigrams lie its unigrams, and below these the
+continuation counts of both classes together, so an expression that is rare in
+either class is smoothed by what all text says of it.  A document is compared by
+its log-likelihood a token under the one model less that under the other.
+Beside this stand the tokens' ratios as far as documents support them: their
+mean, and the mean of the `PEAKS` highest, as a few words can make a long text
+toxic.  A logistic curve, fitted on labelled rows that the counts don't hold,
+turns these and the length into a score.
+
+The models come from a bounded sample of labelled texts: of each class the
+`sample` texts whose hashed ids are least, as far as they have `SAMPLE_BYTES`
+together.  They are broadcast; what is broadcast is bounded by that sample.
+All texts are scored whole.  Scores don't depend on the order of rows.
 
 Defined cases: a null or wordless text scores by the curve's constant; a doc id
-with several labels is toxic if one says so; labels without a document, null
-labels and null ids teach nothing; if no class or only one is labelled, every
-score is the share of toxic labels (0 without labels).
+with several labels is toxic if one says so, and so is a text that occurs under
+several ids, which counts once, under its least id; labels without a document,
+null labels and null ids teach nothing; if no class or only one is labelled,
+every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -27,22 +30,24 @@ from typing import NamedTuple
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Ids, crc_mod, local, map_rows, materialise
+from graphloom.llm.common import Ids, crc_mod, discard, local, map_rows, materialise
 
-#: Labelled rows a class that the models may learn from.
-SAMPLE = 8_000
+#: Labelled texts a class that the models may learn from, and their bytes together.
+SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
 #: Bigrams and words seen less often in the sample are left to the backoff.
 LEAST = 2
 DISCOUNT = 0.75
 #: Tokens of a text that count as its most telling.
 PEAKS = 3
-#: Documents at which half of a ratio is believed.
+#: Documents (or uses of a bigram) at which half of a supported ratio is believed.
 HALF = 4.0
-#: A context moves a token's ratio by this at most: near copies in the sample repeat their contexts.
+#: A context moves a supported ratio by this at most: near copies in the sample repeat their contexts.
 MOST_SHIFT = 1.0
+#: Counts that a task holds before it passes them on.
+HELD = 1 << 20
 WORDS = re.compile(r"\w+")
 #: A row whose id's crc32 is 0 modulo this is held out.
 FOLDS = 5
@@ -68,14 +73,14 @@ class Model(NamedTuple):
     pairs: np.ndarray
     seen: np.ndarray  # n_c(v, w)
 
-    def ratios(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log P_toxic - log P_ordinary of each token; `first` marks those without a token before."""
+    def ratios(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P_toxic - log P_ordinary of each token, and the same as far as it is supported; `first` marks tokens without one before."""
         lower = self.unigram[at]
         before = np.empty_like(at)
         before[1:], before[0] = at[:-1], -1
         before[first] = -1
         n, t = self.total[before], self.types[before]
-        hit = np.zeros((len(at), 2), np.float32)
+        hit = np.zeros((len(at), 2))
         both = np.flatnonzero((before >= 0) & (at >= 0))
         if len(self.pairs) and len(both):
             key = before[both].astype(np.int64) << 32 | at[both]
@@ -88,15 +93,15 @@ class Model(NamedTuple):
         one, two = lower[:, 1] - lower[:, 0], upper[:, 1] - upper[:, 0]
         # A context speaks as far as both classes know it.
         pair, known = hit.sum(1), n.min(1)
-        return one * self.support[at] + np.clip((two - one) * pair / (pair + HALF) * known / (known + HALF), -MOST_SHIFT, MOST_SHIFT)
+        return two, one * self.support[at] + np.clip((two - one) * pair / (pair + HALF) * known / (known + HALF), -MOST_SHIFT, MOST_SHIFT)
 
 
 def build(words: tuple, pairs: tuple) -> Model:
-    """Model of (hash, ordinary, toxic, continuations) and (first, second, ordinary, toxic) columns."""
-    h, o, t, c = (np.asarray(x) for x in words)
+    """Model of (hash, ordinary, toxic, documents, continuations) and (first, second, ordinary, toxic) columns."""
+    h, o, t, d, c = (np.asarray(x) for x in words)
     h = h.astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    h, count, cont = h[order], np.stack([o, t], 1)[order].astype(float), c[order].astype(float)
+    h, count, docs, cont = h[order], np.stack([o, t], 1)[order].astype(float), d[order].astype(float), c[order].astype(float)
     # One unknown word stands for all: it has half a continuation.
     shared = np.append(cont + 0.5, 0.5) / (cont.sum() + 0.5 * (len(h) + 1))
     n, kinds = np.maximum(count.sum(0), 1), np.maximum((count > 0).sum(0), 1)
@@ -104,22 +109,23 @@ def build(words: tuple, pairs: tuple) -> Model:
     a, b, po, pt = (np.asarray(x) for x in pairs)
     at = lambda x: np.searchsorted(h, x.astype(np.int64).view(np.uint64))
     known = np.isin(a.astype(np.int64).view(np.uint64), h) & np.isin(b.astype(np.int64).view(np.uint64), h)
-    a, b, seen = at(a[known]), at(b[known]), np.stack([po, pt], 1)[known].astype(np.float32)
+    a, b, seen = at(a[known]), at(b[known]), np.stack([po, pt], 1)[known].astype(float)
     key = a.astype(np.int64) << 32 | b
     order = np.argsort(key)
     key, seen, a = key[order], seen[order], a[order]
-    total, types = np.zeros((2, len(h) + 1, 2), np.float32)
+    # The last row is that of tokens without a known one before.
+    total, types = np.zeros((2, len(h) + 1, 2))
     np.add.at(total, a, seen)
-    np.add.at(types, a, (seen > 0).astype(np.float32))
-    pooled = np.append(count.sum(1), 0)
-    return Model(h, unigram.astype(np.float32), (pooled / (pooled + HALF)).astype(np.float32), total, types, key, seen)
+    np.add.at(types, a, (seen > 0).astype(float))
+    docs = np.append(docs, 0)
+    return Model(h, unigram, docs / (docs + HALF), total, types, key, seen)
 
 
 def features(m: Model, texts: list[list[str]]) -> np.ndarray:
-    """Per text: mean ratio, mean of the peaks' ratios, log length."""
+    """Per text: difference of the models' log-likelihoods a token, mean supported ratio, mean of its peaks, log length."""
     ids = Ids()
     flat = np.fromiter((ids[w] for ws in texts for w in ws), np.int64)
-    out = np.zeros((len(texts), 3))
+    out = np.zeros((len(texts), 4))
     if not len(flat):
         return out
     h = word_hashes(list(ids))
@@ -127,14 +133,16 @@ def features(m: Model, texts: list[list[str]]) -> np.ndarray:
     at = np.where(m.words[spot] == h, spot, -1) if len(m.words) else np.full(len(h), -1)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     end = np.cumsum(size)
-    first = (end - size)[size > 0]
-    ratio = m.ratios(at[flat], first)
-    sums = np.zeros(len(texts))
-    sums[size > 0] = np.add.reduceat(ratio, first)
+    whole, supported = m.ratios(at[flat], (end - size)[size > 0])
+    # Sums in the order of tokens, so that a text's don't depend on the texts beside it.
+    text = np.repeat(np.arange(len(texts)), size)
+    some = np.maximum(size, 1)
+    out[:, 0] = np.bincount(text, whole, len(texts)) / some
+    out[:, 1] = np.bincount(text, supported, len(texts)) / some
+    out[:, 3] = np.log1p(size)
     for k in np.flatnonzero(size):
-        r = ratio[end[k] - size[k] : end[k]]
-        top = np.partition(r, len(r) - PEAKS)[-PEAKS:] if len(r) > PEAKS else r
-        out[k] = sums[k] / size[k], top.mean(), np.log1p(size[k])
+        r = supported[end[k] - size[k] : end[k]]
+        out[k, 2] = np.sort(np.partition(r, len(r) - PEAKS)[-PEAKS:] if len(r) > PEAKS else r).mean()
     return out
 
 
@@ -153,53 +161,78 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
     return mean, scale, w
 
 
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(id, th, toxic, held, text) of the sampled texts, and the number of labelled texts of each class."""
+    rows = labels.select(labels[id_col].alias("id"), labels["toxic"].alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod("id", FOLDS) != 0)
+    rows = rows.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("th", F.xxhash64("text"))
+    # No texts travel here: an id, a hash and a size.
+    met = texts.select("id", "th", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(rows, "id")
+    kinds = materialise(met.groupBy("th").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"), F.max("size").cast("long").alias("size")), "labels")
+    sizes = {r["toxic"]: r["n"] for r in kinds.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = [kinds.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id", "th").limit(sample) for c in (0, 1)]
+    # At most two samples of rows, so one window over them is bounded; a quarter is for the curve.
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id", "th").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = part[0].union(part[1]).withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
+    chosen = chosen.select("id", "th", "toxic", (F.xxhash64("id", F.lit(1)) % 4 == 0).alias("held"))
+    taught = materialise(texts.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"]), "taught")
+    discard(kinds)
+    return taught, sizes
+
+
+def count(batches):
+    """(w, v, toxic, n, d): counts of words (v null) and bigrams, and the documents with a word."""
+    one, docs, two, ids = Counter(), Counter(), Counter(), Ids()
+
+    def out():
+        h = word_hashes(list(ids)).view(np.int64)
+        if one:
+            yield [int(h[w]) for w, _ in one], [None] * len(one), [t for _, t in one], list(one.values()), [docs[k] for k in one]
+        if two:
+            yield [int(h[w]) for _, w, _ in two], [int(h[v]) for v, _, _ in two], [t for _, _, t in two], list(two.values()), [0] * len(two)
+        for c in (one, docs, two, ids):
+            c.clear()
+
+    for b in batches:
+        for text, toxic in zip(b["text"], b["toxic"]):
+            at = [ids[w] for w in tokens(text)]
+            one.update((w, toxic) for w in at)
+            docs.update((w, toxic) for w in set(at))
+            two.update((v, w, toxic) for v, w in zip(at, at[1:]))
+            if len(one) + len(two) > HELD:
+                yield from out()
+    yield from out()
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
     """(model, curve) of the labelled rows that are not held out; (None, share) without two classes."""
     spark = docs.sparkSession
-    rows = labels.select(labels[id_col].alias("id"), labels["toxic"].alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod("id", FOLDS) != 0)
-    rows = materialise(rows.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "labels")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taught, sizes = sampled(docs, labels, id_col, text_col, sample)
     if not (sizes.get(0) and sizes.get(1)):
         return None, float(sizes.get(1, 0) > 0)
-    part = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
-    # At most two samples of rows; a quarter is for the curve.
-    chosen = part[0].union(part[1]).withColumn("held", F.xxhash64("id", F.lit(1)) % 4 == 0)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    taught = materialise(texts.join(F.broadcast(chosen), "id").dropDuplicates(["text"]), "taught")
-
-    def count(batches):
-        one, two = Counter(), Counter()
-        ids = Ids()
-        for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"]):
-                at = [ids[w] for w in tokens(text)]
-                one.update((w, toxic) for w in set(at))
-                two.update((v, w, toxic) for v, w in set(zip(at, at[1:])))
-        h = word_hashes(list(ids)).view(np.int64)
-        yield [int(h[w]) for w, _ in one], [None] * len(one), [t for _, t in one], list(one.values())
-        yield [int(h[w]) for _, w, _ in two], [int(h[v]) for v, _, _ in two], [t for _, _, t in two], list(two.values())
-
     of = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
-    counted = map_rows(taught.where(~F.col("held")).select("text", "toxic"), "w long, v long, toxic int, n long", count, 512)
-    table = materialise(counted.groupBy("v", "w").agg(of(0).alias("o"), of(1).alias("t")), "counts")
+    counted = map_rows(taught.where(~F.col("held")).select("text", "toxic"), "w long, v long, toxic int, n long, d long", count, 512)
+    table = materialise(counted.groupBy("v", "w").agg(of(0).alias("o"), of(1).alias("t"), F.sum("d").alias("d")), "counts")
     cont = table.where("v IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    one = local(table.where(f"v IS NULL AND o + t >= {LEAST}").select("w", "o", "t").join(cont, "w", "left").select("w", "o", "t", F.coalesce("c", F.lit(0)).alias("c")))
+    one = local(table.where(f"v IS NULL AND o + t >= {LEAST}").join(cont, "w", "left").select("w", "o", "t", "d", F.coalesce("c", F.lit(0)).alias("c")))
     two = local(table.where(f"v IS NOT NULL AND o + t >= {LEAST}").select("v", "w", "o", "t"))
-    model = build(tuple(one[c] for c in ("w", "o", "t", "c")), tuple(two[c] for c in ("v", "w", "o", "t")))
+    model = build(tuple(one[c] for c in ("w", "o", "t", "d", "c")), tuple(two[c] for c in ("v", "w", "o", "t")))
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches):
         for b in batches:
-            x = features(held.value, [tokens(t) for t in b["text"]])
-            yield b["toxic"], x[:, 0], x[:, 1], x[:, 2]
+            yield b["toxic"], *features(held.value, [tokens(t) for t in b["text"]]).T
 
-    measured = local(map_rows(taught.where("held").select("text", "toxic"), "toxic int, a double, b double, c double", measure, 512))
-    y = measured["toxic"].astype(float)
+    measured = local(map_rows(taught.where("held").select("text", "toxic"), "toxic int, a double, b double, c double, d double", measure, 512))
+    discard(taught, table)
+    y, x = measured["toxic"].astype(float), np.column_stack([measured[c] for c in "abcd"])
     if not 0 < y.sum() < len(y):
         return None, sizes[1] / (sizes[0] + sizes[1])
+    order = np.lexsort((*x.T, y))
+    y, x = y[order], x[order]
     per = {c: sizes[c] / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, per[1], per[0])
-    return held, fit_curve(np.column_stack([measured[c] for c in "abc"]), y, weight / weight.mean())
+    return held, fit_curve(x, y, weight / weight.mean())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -213,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             else:
                 mean, scale, w = curve
                 x = features(held.value, [tokens(t) for t in b["text"]])
-                s = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
+                s = 1 / (1 + np.exp(-np.clip(((x - mean) / scale * w[:-1]).sum(1) + w[-1], -30, 30)))
             yield b["doc_id"], b["held_out"], s, (s >= 0.5).astype(np.int32)
 
     kind = docs.schema[id_col].dataType.simpleString()

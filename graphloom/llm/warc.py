@@ -9,12 +9,16 @@ others are revisit records that hold no payload.
 The reader takes members (or bare records) one after another.  Where a check
 fails - the member's CRC, the version line, the length, a digest - it logs the
 bytes up to the next valid member or version line as a gap and goes on there.
+Gaps inside a sound member have their place in the member's content (`inner`).
+A member is inflated slice by slice and the next line or member is searched once,
+so reading takes time in proportion to the archive.
 
 Defined cases: a null html is an empty payload; a null url is left out; of equal
 payloads, rows with the smallest id are all responses (repeated rows), null ids
 are revisits of it, or all responses if no id is set; an empty table gives an
-empty result.  A record is held whole in memory, an archive too; archives are
-closed at about `archive_bytes` of payload.
+empty result; pages of any size are written, a large one closes its archive.  A
+record is held whole in memory, an archive too; archives are closed at
+`archive_bytes` of payload, counted page by page, and the page that reaches it.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_rows, new_path, sides, utf8
+from graphloom.llm.common import map_rows, materialise, new_path, share_join, utf8
 
 #: A whole gzip member of no bytes.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+PAD = re.compile(rb"[\r\n\0]+")
 ARCHIVE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,13 +74,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class Found(NamedTuple):
-    """A record, or a gap if `gap` says why its bytes were put aside."""
+    """A record, or a gap if `gap` says why its bytes were put aside; `inner` is the place in a member's content."""
 
     offset: int
     length: int
     gap: str | None
     fields: dict[str, str]
     block: bytes
+    inner: int | None = None
 
 
 def parse(data: bytes, at: int, end: int) -> tuple[int, dict[str, str], bytes] | str:
@@ -105,17 +111,38 @@ def parse(data: bytes, at: int, end: int) -> tuple[int, dict[str, str], bytes] |
 
 def member(data: bytes, at: int) -> tuple[int, bytes] | str:
     """The gzip member at a place: its end and content; or what is wrong."""
-    z = zlib.decompressobj(31)
+    z, view, out, size = zlib.decompressobj(31), memoryview(data), [], 4096
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + size]))
+            at, size = min(at + size, len(data)), min(2 * size, 1 << 20)
     except zlib.error as e:
         return f"gzip: {e}"
-    return (len(data) - len(z.unused_data), out) if z.eof else "gzip: unfinished member"
+    return (at - len(z.unused_data), b"".join(out)) if z.eof else "gzip: unfinished member"
+
+
+class Ahead:
+    """The next place of a pattern: searched again only once it is passed."""
+
+    def __init__(self, data: bytes, find):
+        self.data, self.find, self.at = data, find, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            self.at = self.find(self.data, at + 1)
+            self.at = len(self.data) if self.at < 0 else self.at
+        return self.at
+
+
+def _version_line(data: bytes, at: int) -> int:
+    m = VERSION.search(data, at)
+    return m.start() if m else -1
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """Records and gaps of an archive, in order; every byte lies in one of them or in padding."""
     at, n, bad, why = 0, len(data), None, None
+    line, magic = Ahead(data, _version_line), Ahead(data, lambda d, k: d.find(MAGIC, k))
     while at < n:
         found: list[Found] = []
         if data.startswith(MAGIC, at):
@@ -127,19 +154,23 @@ def salvage(data: bytes) -> Iterator[Found]:
                     one = parse(out, inner, len(out))
                     if isinstance(one, str):
                         # Inside a sound member only version lines can follow.
-                        nxt = VERSION.search(out, inner + 1)
-                        found.append(Found(at, end - at, one, {}, b""))
-                        inner = nxt.start() if nxt else len(out)
+                        nxt = _version_line(out, inner + 1)
+                        stop = nxt if nxt >= 0 else len(out)
+                        if found and found[-1].gap:
+                            found[-1] = found[-1]._replace(length=stop - found[-1].inner)
+                        else:
+                            found.append(Found(at, stop - inner, one, {}, b"", inner))
+                        inner = stop
                     else:
+                        found.append(Found(at, end - at, None, one[1], one[2], inner))
                         inner = one[0]
-                        found.append(Found(at, end - at, None, one[1], one[2]))
                 got = end
         elif VERSION.match(data, at):
             got = parse(data, at, n)
             if not isinstance(got, str):
                 found.append(Found(at, got[0] - at, None, got[1], got[2]))
                 got = got[0]
-        elif bad is None and (pad := re.compile(rb"[\r\n\0]+").match(data, at)):
+        elif bad is None and (pad := PAD.match(data, at)):
             at = pad.end()
             continue
         else:
@@ -147,8 +178,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         if isinstance(got, str):
             if bad is None:
                 bad, why = at, got
-            line, magic = VERSION.search(data, at + 1), data.find(MAGIC, at + 1)
-            at = min(line.start() if line else n, magic if magic >= 0 else n)
+            at = min(line.after(at), magic.after(at))
             continue
         if bad is not None:
             yield Found(bad, at - bad, why, {}, b"")
@@ -169,54 +199,79 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
 def with_duplicates(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds `first`: the smallest page id of rows with this payload, if others have it too."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.withColumn("digest", F.sha1(html))
-    groups = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_digest"), "first")
-    n = groups.limit(50_001).count()
-    return sides(rows, groups, F.col("digest") == F.col("_digest"), "left", n).drop("digest", "_digest")
+    rows = pages.withColumn("_digest", F.sha1(html))
+    groups = rows.where(F.octet_length(html) >= min_bytes).groupBy("_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    return share_join(rows, groups, ["_digest"], rows.count(), "left").drop("_digest")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, min_bytes: int = 0) -> None:
-    """Write pages as .warc.gz archives below a path."""
+    """Write pages as .warc.gz archives below a path; a task's first archive is in archive=0, its next in archive=1, ..."""
+    spark = pages.sparkSession
     df = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    mean = df.agg(F.avg(F.octet_length("html"))).first()[0] or 1.0
 
     def rows(batches):
+        archive = filled = 0
         for b in batches:
-            made = zip(b["page_id"], b["url"], b["html"], b["first"])
-            yield ([gzip.compress(record(i, u, utf8(h), f, f is not None and f != i), 1, mtime=0) for i, u, h, f in made],)
-
-    records = map_rows(with_duplicates(df, min_bytes), "record binary", rows, 128)
-    sink = records.select(F.col("record").cast("string")).write
-    sink.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + 600)))).text(path)
+            made, places = [], []
+            for i, u, h, f in zip(b["page_id"], b["url"], b["html"], b["first"]):
+                made.append(gzip.compress(record(i, u, utf8(h), f, f is not None and f != i), 1, mtime=0))
+                places.append(archive)
+                filled += len(made[-1])
+                if filled >= archive_bytes:
+                    archive, filled = archive + 1, 0
+            yield made, places
+
+    records = map_rows(with_duplicates(df, min_bytes), "record binary, archive int", rows, 128)
+    sink = records.select(F.col("record").cast("string"), "archive").write.partitionBy("archive")
+    # A task has one archive open at a time, so its rows need no sort.
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        sink.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records and gaps of the archives below a path; payload=False leaves the payloads out."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    # A partition holds few archives at a time, as each is a file.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path", "content")
 
     def rows(batches):
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
-                out = []
+                out, held = [], 0
                 for f in salvage(bytes(data)):
                     body, size = payload_of(f.block)
                     digest, sound = f.fields.get("warc-payload-digest", "")[5:], f.gap
                     if sound is None and f.fields.get("warc-type") == "response" and digest != base32(hashlib.sha1(body).digest()):
                         sound = "payload digest differs"
-                    out.append((name, f.offset, f.length, sound, f.fields.get("warc-type"), f.fields.get("warc-record-id"), f.fields.get("warc-target-uri"), size if sound is None else None, digest or None, f.fields.get("warc-refers-to"), body if payload and sound is None else None))
-                    if len(out) >= 512:
+                    body = body if payload and sound is None else None
+                    out.append((name, f.offset, f.length, f.inner, sound, f.fields.get("warc-type"), f.fields.get("warc-record-id"), f.fields.get("warc-target-uri"), size if sound is None else None, digest or None, f.fields.get("warc-refers-to"), body))
+                    held += len(body or b"")
+                    if len(out) >= 512 or held > 16 << 20:
                         yield list(zip(*out))
-                        out = []
+                        out, held = [], 0
                 if out:
                     yield list(zip(*out))
 
-    return map_rows(files, "archive string, offset long, length long, gap string, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary", rows, 1)
+    return map_rows(files, "archive string, offset long, length long, inner long, gap string, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary", rows, 1)
+
+
+def quarantine(found: DataFrame) -> DataFrame:
+    """The log of what was put aside: (archive, offset, length, inner, gap)."""
+    return found.where("gap IS NOT NULL").select("archive", "offset", "length", "inner", "gap")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages, read the archives back; a row for each page."""
-    path = new_path(pages.sparkSession, "warc")
+    """Write the pages, read the archives back; a row for each page, and an error naming the first gaps if one is lost."""
+    spark = pages.sparkSession
+    path = new_path(spark, "warc")
     write(pages, path)
+    back = materialise(read(spark, path, payload=False).drop("payload"), "warc-records")
+    if lost := quarantine(back).limit(5).collect():
+        raise RuntimeError(f"{path} has damaged records: {lost}")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1)
-    back = read(pages.sparkSession, path, payload=False).where("gap IS NULL")
-    return back.select(*(F.when(number(c) != "", number(c).cast("long")).alias(n) if c != n else F.col(c) for c, n in (("record_id", "page_id"), ("payload_bytes", "payload_bytes"), ("payload_digest", "payload_digest"), ("record_type", "record_type"))), F.when(number("refers_to") != "", number("refers_to").cast("long")).alias("refers_to"))
+    id_of = lambda c, name: F.when(number(c) != "", number(c).cast("long")).alias(name)
+    return back.select(id_of("record_id", "page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to", "refers_to"))

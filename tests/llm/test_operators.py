@@ -195,7 +195,7 @@ def test_warc_payloads_come_back(spark, tmp_path):
     warc.write(df, f"file://{tmp_path}/w", archive_bytes=2000)
     back = warc.read(spark, f"file://{tmp_path}/w").collect()
     assert {r["record_id"].split(":")[2]: bytes(r["payload"]).decode() for r in back} == {str(k): f"<p>{k} é</p>" * k for k in range(40)}
-    files = list((tmp_path / "w").glob("part-*"))
+    files = list((tmp_path / "w").glob("archive=*/part-*"))
     assert len(files) > 4 and all(gzip.decompress(f.read_bytes()).count(b"WARC/1.1") >= 1 for f in files)
 
 

@@ -449,7 +449,7 @@ def naive_neighbours(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("leaf", [None, 8])
+@pytest.mark.parametrize("leaf", [ann.LOWER, 8])
 def test_ann(spark, leaf):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = defaultdict(list)

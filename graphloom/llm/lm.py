@@ -1,17 +1,17 @@
 """Operator 2: language-model scoring with a hashed maximum-entropy model.
 
 Outcomes are units: the end token, the most frequent words, and buckets of the
-other words by a hash of their last letters.  The softmax is factored: a unit is
-a slot of a class, and its probability is that of the class given the context
-times that of the slot given the class and the context.  Both factors are
-maximum-entropy models over the same features - bigram, skip and trigram of the
-words before - hashed into a table of class weights and, together with the
-class, into a table of slot weights.  Units are dealt to classes by what
+other words by a hash of their last letters.  The softmax is factored by classes of
+classes: WIDTH classes hold WIDTH classes each, which hold WIDTH units each, and a
+unit's probability is the product of three softmaxes, each given the context and
+the class so far.  Every factor is a maximum-entropy model over the same features
+- bigram, skip and trigram of the words before - hashed together with the class
+so far into the factor's table of weights.  Units are dealt to classes by what
 precedes them, so that a class holds units of one sort (in one language, say).
 A word has its relative frequency within its bucket (one added, and one for an
 unknown word), so words that training never met have a probability too.
 
-Size: both tables have one row for every `TOKENS_A_ROW` training tokens, as a
+Size: the tables have one row for every `TOKENS_A_ROW` training tokens, as a
 power of two between the ends of `ROWS`; the upper end keeps them small enough
 to broadcast.  Word counts have no bound: every training token is counted, with
 map-side aggregation.  Words of more than 1/`HEAD` of all tokens are at most
@@ -43,16 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import crc_mod, discard, local, map_rows, materialise
-from graphloom.llm.pieces import BLANK, Table, batch, edges
+from graphloom.llm.pieces import BLANK, Table, edges, hashed
 
 FOLDS, HELD_OUT = 7, 2
 #: The end token's hash: no word has it.
 END = 0
 #: Words of more than one token in so many are broadcast.
 HEAD = 1 << 17
-#: Classes and slots in each; the first units are single words (the end token is unit 0), the others buckets of endings.
-CLASSES, SLOTS, BUCKETS = 64, 64, 1024
-UNITS = CLASSES * SLOTS
+#: Factors of the softmax and outcomes of each; the first units are single words (the end token is unit 0), the others buckets of endings.
+FACTORS, WIDTH, BUCKETS = 3, 16, 1024
+UNITS = WIDTH**FACTORS
 ALONE = UNITS - BUCKETS
 #: Training tokens for each row of the weight tables, and the least and most rows.
 TOKENS_A_ROW, ROWS = 128, (1 << 13, 1 << 17)
@@ -85,8 +85,8 @@ def tokens(texts: list[bytes | None], seed: int = 0, key: int | None = None) ->
     texts = [t or b"" for t in texts]
     data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     starts, ends = edges(BLANK[data])
-    h = batch(data, starts, ends, seed).hashes.view(np.int64)
-    proof = h if key is None else batch(data, starts, ends, key).hashes.view(np.int64)
+    every = hashed(data, starts, ends, *([seed] if key is None else [seed, key]))[1]
+    h, proof = every[0].view(np.int64), every[-1].view(np.int64)
     size = ends - starts
     code = data[ends - 1].astype(np.int64)
     for k in (2, 3):
@@ -111,9 +111,8 @@ class Counts(NamedTuple):
     within: np.ndarray  # log10(N_bucket + V_bucket + 1); 0 for single words
     signs: np.ndarray  # units that tell what others follow
     rows: int
-    place: np.ndarray  # class * SLOTS + slot of each unit
-    prior: np.ndarray  # log of the classes' shares
-    inner: np.ndarray  # log of the slots' shares within their classes
+    place: np.ndarray  # of each unit: its classes and its place in the last, as digits to the base WIDTH
+    priors: list[np.ndarray]  # for each factor, a row for each class so far: logs of the outcomes' shares
 
 
 def count_words(docs: DataFrame, seed: int, key: int) -> DataFrame:
@@ -205,21 +204,23 @@ def gather(table: DataFrame, seed: int) -> Counts:
     found.add(h.view(np.uint64) ^ FLIP, np.arange(len(h)))
     signs = np.argsort(-mass, kind="stable")[:SIGNS]
     rows = int(np.clip(1 << max(0, int(total) // TOKENS_A_ROW).bit_length(), *ROWS))
-    counts = Counts(seed, int(total), int(distinct), found, c, own, mass, within, signs, rows, np.arange(UNITS), np.empty(0), np.empty(0))
+    counts = Counts(seed, int(total), int(distinct), found, c, own, mass, within, signs, rows, np.arange(UNITS), [])
     return _placed(counts, counts.place)
 
 
 def _placed(counts: Counts, place: np.ndarray) -> Counts:
     """The counts with units in classes, and the shares that follow."""
     mass = np.empty(UNITS)
-    mass[place] = counts.share
-    mass = mass.reshape(CLASSES, SLOTS) + 1 / UNITS
-    each = mass.sum(1)
-    return counts._replace(place=place, prior=np.log(each / each.sum()).astype(np.float32), inner=np.log(mass / each[:, None]).astype(np.float32))
+    mass[place] = counts.share + 1 / UNITS
+    priors = []
+    for k in range(FACTORS):
+        each = mass.reshape(WIDTH**k, WIDTH, -1).sum(2)
+        priors.append(np.log(each / each.sum(1, keepdims=True)).astype(np.float32))
+    return counts._replace(place=place, priors=priors)
 
 
 def classes(docs: DataFrame, counts) -> np.ndarray:
-    """Units dealt to classes of SLOTS each: halved again and again along what most tells apart the units that they follow."""
+    """Units in an order of which every class is a stretch: halved again and again along what most tells apart the units that they follow."""
 
     def follow(batches):
         c = counts.value
@@ -253,7 +254,7 @@ def classes(docs: DataFrame, counts) -> np.ndarray:
     x = seen.reshape(UNITS, SIGNS)
     x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
     parts = [np.argsort(-counts.value.share, kind="stable")]
-    while len(parts) < CLASSES:
+    while len(parts) < UNITS // WIDTH:
         halves = []
         for p in parts:
             y = x[p] - x[p].mean(0)
@@ -286,62 +287,69 @@ def contexts(t: Tokens) -> np.ndarray:
     return f * MIX[0]
 
 
-def rows_of(f: np.ndarray, rows: int) -> np.ndarray:
-    """Features' rows in the table of class weights."""
-    return (f >> np.uint64(65 - rows.bit_length())).astype(np.int32)
+def rows_of(f: np.ndarray, before: np.ndarray, factor: int, rows: int) -> np.ndarray:
+    """Features' rows, with the class so far, in a factor's table."""
+    x = (f ^ (before.astype(np.uint64) + np.uint64(UNITS * factor)) * MIX[3]) * MIX[2]
+    x ^= x >> np.uint64(32)
+    return (x * MIX[1] >> np.uint64(65 - rows.bit_length())).astype(np.int64)
 
 
-def slot_rows(f: np.ndarray, cls: np.ndarray, rows: int) -> np.ndarray:
-    """Features' rows, with a class, in the table of slot weights."""
-    x = (f ^ (cls.astype(np.uint64) + np.uint64(1)) * MIX[3]) * MIX[2]
-    x ^= x >> np.uint64(32)
-    return (x * MIX[1] >> np.uint64(65 - rows.bit_length())).astype(np.int32)
+def factors(at: np.ndarray, f: np.ndarray, c: Counts):
+    """For each factor: its number, its priors and rows for each token, and the outcome."""
+    for k in range(FACTORS):
+        so_far = at // WIDTH ** (FACTORS - k - 1)
+        before = so_far // WIDTH
+        yield k, np.take(c.priors[k], before, 0), rows_of(f, before, k, c.rows), so_far % WIDTH
 
 
 def logits(weights: np.ndarray, prior: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]]
-    z += weights[f[1]]
-    z += weights[f[2]]
+    z = np.take(weights, f[0], 0)
+    z += np.take(weights, f[1], 0)
+    z += np.take(weights, f[2], 0)
     z += prior
     return z
 
 
+def _sums(z: np.ndarray) -> np.ndarray:
+    """Of each row: a product with ones is faster than a sum over a short axis."""
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 def log_chosen(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log of the softmax at y; weights stay within bounds, so that exp can't overflow."""
     own = z[np.arange(len(z)), y]
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(_sums(z))
 
 
 def log_units(w: np.ndarray, c: Counts, f: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """Natural log of each unit's probability after features; `w` has class and slot weights."""
-    out = np.empty(len(unit))
+    """Natural log of each unit's probability after features; `w` has the factors' weights."""
+    out = np.zeros(len(unit))
     at = c.place[unit]
-    for k in range(0, len(unit), BATCH):
-        part, g = at[k : k + BATCH], f[:, k : k + BATCH]
-        cls, slot = part // SLOTS, part % SLOTS
-        out[k : k + BATCH] = log_chosen(logits(w[0], c.prior, rows_of(g, c.rows)), cls) + log_chosen(logits(w[1], c.inner[cls], slot_rows(g, cls, c.rows)), slot)
+    for lo in range(0, len(unit), BATCH):
+        for k, prior, rows, y in factors(at[lo : lo + BATCH], f[:, lo : lo + BATCH], c):
+            out[lo : lo + BATCH] += log_chosen(logits(w[k], prior, rows), y)
     return out
 
 
 def row_sums(z: np.ndarray, f: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, sum of z over each row's uses, uses): rows' first, second ... uses are added all together."""
-    flat = f.ravel()
-    order = np.argsort(flat, kind="stable")
-    rows = flat[order]
+    # Row and place in one number: sorting numbers is faster than sorting places.
+    both = np.sort(f.ravel() << 20 | np.arange(f.size))
+    rows, order = both >> 20, both & (1 << 20) - 1
     begin = np.flatnonzero(np.diff(rows, prepend=-1))
     n = np.diff(begin, append=len(rows))
-    by = np.argsort(-n, kind="stable")
+    by = np.argsort(-n.astype(np.int16), kind="stable")
     begin, n, token = begin[by], n[by], order % f.shape[1]
-    sums = z[token[begin]]
+    sums = np.take(z, token[begin], 0)
     more = np.searchsorted(-n, -np.arange(few + 1), "left")
     for k in range(1, few):
         m = more[k]
         if not m:
             break
-        sums[:m] += z[token[begin[:m] + k]]
+        sums[:m] += np.take(z, token[begin[:m] + k], 0)
     for j in range(more[few]):
-        sums[j] += z[token[begin[j] + few : begin[j] + n[j]]].sum(0)
+        sums[j] += np.take(z, token[begin[j] + few : begin[j] + n[j]], 0).sum(0)
     return rows[begin], sums, n
 
 
@@ -349,30 +357,29 @@ def step(weights: np.ndarray, grown: np.ndarray, used: np.ndarray, prior: np.nda
     """One minibatch: expected less observed outcome, summed over each row's uses."""
     z = logits(weights, prior, f)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / _sums(z))[:, None]
     z[np.arange(len(y)), y] -= 1
     rows, g, n = row_sums(z, f)
-    grown[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    grown[rows] += _sums(g * g) / g.shape[1]
     used[rows] += n
-    g *= (RATE / np.sqrt(grown[rows] + START))[:, None]
-    weights[rows] = np.clip(weights[rows] - g, -BOUND, BOUND)
+    g *= (-RATE / np.sqrt(grown[rows] + START))[:, None]
+    g += np.take(weights, rows, 0)
+    weights[rows] = np.clip(g, -BOUND, BOUND, out=g)
 
 
 def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
-    """Class and slot weights after a round over these documents; `counts` and `weights` are broadcasts."""
+    """The factors' weights after a round over these documents; `counts` and `weights` are broadcasts."""
 
     def learn(batches):
         w, c = weights.value.astype(np.float32), counts.value
-        grown, used = np.zeros((2, 2, c.rows), np.float32)
+        grown, used = np.zeros((2, FACTORS, c.rows), np.float32)
         for b in batches:
             t = tokens(b["text"], c.seed)
             f, at = contexts(t), c.place[units(t, c)[0]]
-            for k in range(0, len(at), BATCH):
-                part, g = at[k : k + BATCH], f[:, k : k + BATCH]
-                cls, slot = part // SLOTS, part % SLOTS
-                step(w[0], grown[0], used[0], c.prior, rows_of(g, c.rows), cls)
-                step(w[1], grown[1], used[1], c.inner[cls], slot_rows(g, cls, c.rows), slot)
-        w, used = w.reshape(-1, BLOCK, SLOTS), used.reshape(-1, BLOCK)
+            for lo in range(0, len(at), BATCH):
+                for k, prior, rows, y in factors(at[lo : lo + BATCH], f[:, lo : lo + BATCH], c):
+                    step(w[k], grown[k], used[k], prior, rows, y)
+        w, used = w.reshape(-1, BLOCK, WIDTH), used.reshape(-1, BLOCK)
         w[used == 0] = 0
         for k in np.flatnonzero(used.any(1)).tolist():
             yield [k], [used[k].tobytes()], [w[k].astype(np.float16).tobytes()]
@@ -382,7 +389,7 @@ def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
         for b in batches:
             for k, n, w in zip(b["k"], b["n"], b["w"]):
                 n = np.frombuffer(n, np.float32).astype(float)
-                w = np.frombuffer(w, np.float16).reshape(BLOCK, SLOTS) * n[:, None]
+                w = np.frombuffer(w, np.float16).reshape(BLOCK, WIDTH) * n[:, None]
                 if k in total:
                     total[k][0] += n
                     total[k][1] += w
@@ -393,11 +400,11 @@ def train_round(docs: DataFrame, counts, weights) -> np.ndarray:
 
     few = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // LEARNS)
     made = map_rows(docs.select("text").coalesce(few), "k int, n binary, w binary", learn, 512)
-    out = weights.value.copy().reshape(-1, BLOCK, SLOTS)
+    out = weights.value.copy().reshape(-1, BLOCK, WIDTH)
     # As many blocks as the tables have, however large the input.
     for r in map_rows(made.repartition("k"), "k int, n binary, w binary", mean).collect():
         seen = np.frombuffer(r["n"], bool)
-        out[r["k"]][seen] = np.frombuffer(r["w"], np.float16).reshape(BLOCK, SLOTS)[seen]
+        out[r["k"]][seen] = np.frombuffer(r["w"], np.float16).reshape(BLOCK, WIDTH)[seen]
     return out.reshape(weights.value.shape)
 
 
@@ -408,7 +415,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS):
     counts = sc.broadcast(gather(table, seed))
     docs = docs.where(~F.col("held_out"))
     counts = sc.broadcast(_placed(counts.value, classes(docs, counts)))
-    weights = sc.broadcast(np.zeros((2, counts.value.rows, SLOTS), np.float16))
+    weights = sc.broadcast(np.zeros((FACTORS, counts.value.rows, WIDTH), np.float16))
     for r in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(rounds)) == r) if rounds > 1 else docs
         weights = sc.broadcast(train_round(part, counts, weights))

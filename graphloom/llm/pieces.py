@@ -79,28 +79,39 @@ def edges(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> Batch:
     """The pieces with their 64-bit hashes, which are never 0."""
+    return hashed(data, starts, ends, seed)[0]
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int) -> tuple[Batch, list[np.ndarray]]:
+    """The pieces with their hashes for the first seed, and the hashes for every seed."""
     data = np.concatenate([data, np.zeros(8, np.uint8)])
     sizes = ends - starts
-    h = sizes.astype(np.uint64) * MIX[0] ^ np.uint64(xxhash.xxh64_intdigest(b"", seed & (1 << 64) - 1))
-    out = Batch(data, starts, sizes, np.empty(0, np.uint64), h)
+    every = [sizes.astype(np.uint64) * MIX[0] ^ np.uint64(xxhash.xxh64_intdigest(b"", seed & (1 << 64) - 1)) for seed in seeds]
+    out = Batch(data, starts, sizes, np.empty(0, np.uint64), every[0])
     live = np.arange(len(starts))
     first = out.load(0, live)
     out = out._replace(word=first)
     x, k = first, 0
     while len(live):
-        v = (h[live] if k else h) ^ x
-        v *= MIX[1]
-        v ^= v >> np.uint64(29)
-        v *= MIX[2]
-        v ^= v >> np.uint64(32)
-        h[live] = v
+        for h in every:
+            v = (h[live] if k else h) ^ x
+            v *= MIX[1]
+            v ^= v >> np.uint64(29)
+            v *= MIX[2]
+            v ^= v >> np.uint64(32)
+            if k:
+                h[live] = v
+            else:
+                h[:] = v
         k += 1
         live = live[(sizes[live] > 8 * k) & (sizes[live] <= LONGEST)]
         x = out.load(k, live) if len(live) else x
     for i in np.flatnonzero(sizes > LONGEST).tolist():
-        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed & (1 << 64) - 1)
-    h[h == 0] = 1
-    return out
+        for h, seed in zip(every, seeds):
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed & (1 << 64) - 1)
+    for h in every:
+        h[h == 0] = 1
+    return out, every
 
 
 class Table:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, map_rows, materialise, share_join, utf8
-from graphloom.llm.pieces import BLANK, batch, edges
+from graphloom.llm.pieces import BLANK, edges, hashed
 
 #: Words at which a run is long enough.
 MIN_WORDS = 25
@@ -66,7 +66,7 @@ def units(texts: list[bytes], key: int = 1) -> Units:
     upto = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
     if not len(starts):
         return Units(starts, (np.empty(0, np.uint64),) * 2, starts, upto)
-    h = batch(data, starts, ends)
+    h, both = hashed(data, starts, ends, 0, key)
     closed = CLOSE[data[ends - 1]] & (h.sizes > 1)
     close = data[ends - 1 - closed]
     lines = np.cumsum(data == 10)
@@ -75,7 +75,7 @@ def units(texts: list[bytes], key: int = 1) -> Units:
     last[upto[upto > 0] - 1] = True
     clause = last | CLAUSE[close] & (_sizes(last) > LONG)
     cut = clause | least(h.hashes, np.cumsum(clause) - clause) & (_sizes(clause) > LONG)
-    return Units(starts, (h.hashes, batch(data, starts, ends, key).hashes), np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1]), upto)
+    return Units(starts, (both[0], both[1]), np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1]), upto)
 
 
 def _sizes(last: np.ndarray) -> np.ndarray:

@@ -229,9 +229,16 @@ class Storey:
                 a, b, s = best(q_id[asked], q[asked], self.id[rows], self.v[rows], k)
                 found.append((asked[a], rows[b], s))
         a, b, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
+        # The k best of the group, an id once.
+        order = np.lexsort((-s, self.id[b], a))
+        a, b, s = a[order], b[order], s[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (self.id[b[1:]] != self.id[b[:-1]])
+        a, b, s = a[once], b[once], s[once]
         order = np.lexsort((self.id[b], -s, a))
         a, b, s = a[order], b[order], s[order]
-        return a, b, s, met[a]
+        near = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return a[near], b[near], s[near], met[a[near]]
 
 
 def _rank_in(tree: Tree, q: np.ndarray, leaf: int) -> int:

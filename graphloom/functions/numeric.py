@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -71,56 +72,77 @@ def over_arrays(f: Callable[[Column, Column], Column], a: Column, b: Column) ->
     return F.zip_with(a, b, f)
 
 
-def _digamma(x: float) -> float:
-    if x <= 0 and x == math.floor(x):
-        return math.nan
-    if x < 0.5:
-        return _digamma(1 - x) - math.pi / math.tan(math.pi * x)
-    out = 0.0
-    while x < 10:
-        out -= 1 / x
-        x += 1
-    inv = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv * (1 / 240 - inv / 132))))
-
-
-def _erfinv(y: float) -> float:
-    if not -1 <= y <= 1:
-        return math.nan
-    if abs(y) == 1:
-        return math.copysign(math.inf, y)
+# Special functions of whole arrays.
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Reflection below a half, recurrence up to ten, then the asymptotic series."""
+    x = np.asarray(x, float)
+    pole = (x <= 0) & (x == np.floor(x))
+    low = x < 0.5
+    y = np.where(low, 1 - x, x)
+    out = np.zeros_like(y)
+    for _ in range(10):
+        small = y < 10
+        out -= np.where(small, 1 / y, 0.0)
+        y = np.where(small, y + 1, y)
+    inv = 1 / (y * y)
+    out += np.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv * (1 / 240 - inv / 132))))
+    with np.errstate(all="ignore"):
+        out = np.where(low, out - np.pi / np.tan(np.pi * x), out)
+    return np.where(pole, np.nan, out)
+
+
+def _erfinv(y: np.ndarray) -> np.ndarray:
+    """A closed first guess and four steps of Newton's method."""
+    y = np.asarray(y, float)
     a = 0.147
-    u = math.log1p(-y * y)
-    x = math.copysign(math.sqrt(math.sqrt((2 / (math.pi * a) + u / 2) ** 2 - u / a) - (2 / (math.pi * a) + u / 2)), y)
-    for _ in range(4):
-        x -= (math.erf(x) - y) / (2 / math.sqrt(math.pi) * math.exp(-x * x))
-    return x
+    with np.errstate(all="ignore"):
+        u = np.log1p(-y * y)
+        x = np.copysign(np.sqrt(np.sqrt((2 / (np.pi * a) + u / 2) ** 2 - u / a) - (2 / (np.pi * a) + u / 2)), y)
+        for _ in range(4):
+            x = x - (_each(math.erf, x) - y) / (2 / math.sqrt(math.pi) * np.exp(-x * x))
+    return np.where(np.abs(y) > 1, np.nan, np.where(np.abs(y) == 1, np.copysign(np.inf, y), x))
 
 
-def _polygamma(n: int, x: float) -> float:
+def _polygamma(n: int, x: np.ndarray) -> np.ndarray:
     """Derivatives of digamma by recurrence and the asymptotic series."""
     if n == 0:
         return _digamma(x)
-    sign, fact = (-1) ** (n + 1), math.factorial(n)
-    out = 0.0
-    while x < 20:
-        out += fact / x ** (n + 1)
-        x += 1
-    out += math.factorial(n - 1) / x**n + fact / (2 * x ** (n + 1))
+    y, fact = np.asarray(x, float), math.factorial(n)
+    out = np.zeros_like(y)
+    for _ in range(64):
+        small = y < 20
+        if not small.any():
+            break
+        out += np.where(small, fact / y ** (n + 1), 0.0)
+        y = np.where(small, y + 1, y)
+    out += math.factorial(n - 1) / y**n + fact / (2 * y ** (n + 1))
     for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66), 1):
-        out += b * math.factorial(2 * k + n - 1) / (math.factorial(2 * k) * x ** (2 * k + n))
-    return sign * out
+        out += b * math.factorial(2 * k + n - 1) / (math.factorial(2 * k) * y ** (2 * k + n))
+    return (-1) ** (n + 1) * out
+
+
+def _each(f: Callable[[float], float], x: np.ndarray) -> np.ndarray:
+    """The C library's function on each distinct number of a batch."""
+    distinct, back = np.unique(x, return_inverse=True)
+    return np.array([f(v) if math.isfinite(v) else math.nan if v != v else f(math.copysign(30.0, v)) if f is not math.lgamma else math.inf for v in distinct.tolist()])[back].reshape(x.shape)
+
+
+def _lgamma(v: float) -> float:
+    return math.inf if v <= 0 and v == math.floor(v) else math.lgamma(v)
 
 
-def _special(f: Callable[[float], float]):
+def _special(f: Callable[[np.ndarray], np.ndarray]):
     @F.pandas_udf("double")
     def apply(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else f(v)).astype(float)
+        v = x.to_numpy(float, na_value=np.nan)
+        return pd.Series(np.where(np.isnan(v), np.nan, f(np.where(np.isnan(v), 0.25, v)))).where(x.notna())
 
     return apply
 
 
-SPECIAL = {"erf": math.erf, "erfc": math.erfc, "erfinv": _erfinv, "lgamma": math.lgamma, "digamma": _digamma}
+SPECIAL = {"erf": lambda x: _each(math.erf, x), "erfc": lambda x: _each(math.erfc, x), "erfinv": _erfinv, "lgamma": lambda x: _each(_lgamma, x), "digamma": _digamma}
 
 
 def special(name: str, x: Column, order: int = 1) -> Column:

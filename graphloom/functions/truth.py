@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +69,15 @@ def revision(a: TV, b: TV) -> TV:
     return make(s, c)
 
 
+def revised(a_s, a_c, b_s, b_c):
+    """Revision of numbers or arrays, by the same rule as the columns'."""
+    total, both = a_c + b_c, a_c * b_c
+    some = total >= EPSILON
+    s = np.where(some, (a_s * a_c + b_s * b_c) / np.where(some, total, 1.0), 0.5)
+    c = np.where(some, np.minimum(both / np.where(some, total - both + EPSILON, 1.0), MOST), 0.0)
+    return np.clip(s, 0, 1), np.clip(c, 0, 1)
+
+
 def conjunction(a: TV, b: TV) -> TV:
     return make(a.s * b.s, a.c * b.c)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
@@ -69,19 +70,22 @@ class KnowledgeBase:
     def add(self, *parts: DataFrame, overwrite: bool = False) -> KnowledgeBase:
         """Upsert by id: what is there stays; an embedding that comes later replaces an earlier one.
 
-        overwrite=True lets later truth values win too.
+        overwrite=True lets later truth values win too.  Without parts, the
+        base's own repeated atoms become one.  Of the base only ids travel.
         """
-        every = [self.atoms, *parts]
-        rows = reduce(DataFrame.unionByName, [p.withColumn("_n", F.lit(k)) for k, p in enumerate(every)])
-        take = F.max_by if overwrite else F.min_by
-        fixed = [F.min_by(c, "_n").alias(c) for c in ("is_node", "name", "outgoing", "arity")]
-        # An id holds its type; as a key beside it, a filter on the type goes below the aggregate.
-        merged = rows.groupBy("atom_id", "type").agg(
-            *fixed,
-            F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_n"))).alias("embedding"),
-            *(take(c, "_n").alias(c) for c in ("tv_s", "tv_c", "attention")),
-        )
-        return self.replaced(merged.select(schema.COLUMNS))
+        if not parts:
+            return self.replaced(_once([self.atoms], overwrite))
+        new = _once(parts, overwrite)
+        atoms = self.atoms
+        # Empty where the parts have no embeddings: the optimizer then drops the join.
+        later = new.where(F.col("embedding").isNotNull()).select("atom_id", F.col("embedding").alias("_e"))
+        atoms = atoms.join(later, "atom_id", "left").withColumn("embedding", F.coalesce("_e", "embedding")).drop("_e")
+        if overwrite:
+            values = new.select("atom_id", F.struct("tv_s", "tv_c", "attention").alias("_v"))
+            atoms = atoms.join(values, "atom_id", "left")
+            atoms = atoms.select(*(F.coalesce(F.col("_v")[c], c).alias(c) if c in ("tv_s", "tv_c", "attention") else F.col(c) for c in schema.COLUMNS))
+        fresh = new.join(self.atoms.select("atom_id"), "atom_id", "left_anti")
+        return self.replaced(atoms.select(schema.COLUMNS).unionByName(fresh.select(schema.COLUMNS)))
 
     def remove(self, ids: DataFrame) -> KnowledgeBase:
         """Without the atoms named (atom_id), but for those that a link that stays holds."""
@@ -109,3 +113,13 @@ class KnowledgeBase:
                 break
             level = level.unionByName(new)
         return level
+
+
+def _once(parts: Sequence[DataFrame], overwrite: bool) -> DataFrame:
+    """One row an id, by one shuffle and sort: the first, with the last embedding (and truth values, if they overwrite)."""
+    rows = reduce(DataFrame.unionByName, [p.select(schema.COLUMNS).withColumn("_n", F.lit(k)) for k, p in enumerate(parts)])
+    order = Window.partitionBy("atom_id", "type").orderBy("_n")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = ["tv_s", "tv_c", "attention"] if overwrite else []
+    rows = rows.withColumns({"_k": F.row_number().over(order), "embedding": F.last("embedding", ignorenulls=True).over(whole)} | {c: F.last(c).over(whole) for c in last})
+    return rows.where("_k = 1").select(schema.COLUMNS)

@@ -16,6 +16,8 @@ def neighbourhood(kb: KnowledgeBase, seeds: DataFrame, depth: int = 1) -> DataFr
     """
     inc = kb.incidence().select("link_id", "target_id")
     hop = inc.select(F.col("link_id").alias("at"), F.col("target_id").alias("to")).union(inc.select(F.col("target_id").alias("at"), F.col("link_id").alias("to")))
+    # The hops are cut once; every step joins the same table.
+    hop = cut(hop)
     front = seeds.select(F.col("atom_id").alias("seed"), F.col("atom_id").alias("at"))
     seen = front.withColumn("hops", F.lit(0))
     for k in range(1, depth + 1):

@@ -11,12 +11,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import truth
 from graphloom.functions.truth import TV
-from graphloom.store import cut
+from graphloom.store import cut, ship
 
 EDGE = ["link_type", "src", "dst", "tv_s", "tv_c"]
 TRANSITIVE = ("InheritanceLink", "ImplicationLink")
@@ -80,10 +81,70 @@ def induction_step(edges: DataFrame) -> DataFrame:
 
 
 def revise(values: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
-    """Left fold by revision of each key's values, in order; the number of them and whether there were several."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "tv_s", "tv_c"))), lambda x: F.struct(x["tv_s"].alias("s"), x["tv_c"].alias("c")))
-    folded = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), truth.revision_fold(listed).alias("t"))
-    return folded.select(*keys, "n", (F.col("n") > 1).alias("changed"), F.col("t.s").alias("tv_s"), F.col("t.c").alias("tv_c"))
+    """Left fold by revision of each key's values, in order; the number of them and whether there were several.
+
+    Rows are sorted by key and order; a task folds its batches with the state of
+    the key that goes on, so no key's values are held together.
+    """
+    ship(values.sparkSession)
+    dealt = values.select(*keys, "tv_s", "tv_c", order).repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, F.col("tv_s").cast("double").alias("s"), F.col("tv_c").cast("double").alias("c"))
+    out = dealt.select(*keys).withColumns({"n": F.lit(0).cast("long"), "changed": F.lit(True), "tv_s": F.lit(0.0), "tv_c": F.lit(0.0)}).schema
+
+    def fold(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        held = None  # the last key with its number of values and truth value
+
+        def emit(columns, n, s, c):
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, f.type) for x, f in zip((n, n > 1, s, c), list(arrow)[len(keys) :]))], schema=arrow)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]).combine_chunks()
+            begin = np.flatnonzero(_changes([t.column(k) for k in keys]))
+            size = np.diff(begin, append=b.num_rows)
+            s, c = b.column(len(keys)).to_numpy(zero_copy_only=False), b.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+            n, a_s, a_c = size.astype(np.int64), s[begin].copy(), c[begin].copy()
+            first = t.select(list(keys)).take(pa.array(begin))
+            if held is not None:
+                before, k, bs, bc = held
+                if before.equals(first.slice(0, 1)):
+                    a_s[0], a_c[0] = truth.revised(bs, bc, a_s[0], a_c[0])
+                    n[0] += k
+                else:
+                    yield emit([x.combine_chunks() for x in before.columns], np.array([k]), np.array([bs]), np.array([bc]))
+            # The k-th values of all keys together.
+            live, k = np.flatnonzero(size > 1), 1
+            while len(live):
+                a_s[live], a_c[live] = truth.revised(a_s[live], a_c[live], s[begin[live] + k], c[begin[live] + k])
+                k += 1
+                live = live[size[live] > k]
+            held = first.slice(len(begin) - 1), int(n[-1]), float(a_s[-1]), float(a_c[-1])
+            if len(begin) > 1:
+                done = first.slice(0, len(begin) - 1)
+                yield emit([x.combine_chunks() for x in done.columns], n[:-1], a_s[:-1], a_c[:-1])
+        if held is not None:
+            before, k, bs, bc = held
+            yield emit([x.combine_chunks() for x in before.columns], np.array([k]), np.array([bs]), np.array([bc]))
+
+    return dealt.mapInArrow(fold, out)
+
+
+def _changes(columns: list) -> np.ndarray:
+    """Whether each row begins a new key."""
+    import pyarrow.compute as pc
+
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for x in columns:
+        if len(x) > 1:
+            same = pc.fill_null(pc.equal(x.slice(1), x.slice(0, len(x) - 1)), False)
+            both = pc.and_(pc.is_null(x.slice(1)), pc.is_null(x.slice(0, len(x) - 1)))
+            new[1:] |= ~np.asarray(pc.or_(same, both).combine_chunks().to_numpy(zero_copy_only=False), bool)
+    return new
 
 
 # Pair steps: quadratic in the candidates of a block, so candidates are thinned and blocked first.

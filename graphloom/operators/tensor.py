@@ -7,6 +7,7 @@ changes are group-bys, windows, joins and index arithmetic over these.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.store import numbered
+from graphloom.store import numbered, ship
 
 # Reductions
 
@@ -40,13 +41,19 @@ def reduce_dims(t: DataFrame, by: Sequence[str], ops: Sequence[str], value: str
     """Reduces all other dimensions."""
     known = reductions(F.col(value), unbiased)
     plain = [known[o].alias(o) for o in ops if o != "logsumexp"]
-    out = t.groupBy(*by).agg(*plain) if plain else None
-    if "logsumexp" in ops:
-        top = t.groupBy(*by).agg(F.max(value).alias("_top"))
-        joined = t.join(top, list(by)) if by else t.crossJoin(F.broadcast(top))
-        lse = joined.groupBy(*by).agg((F.first("_top") + F.log(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias("logsumexp"))
-        out = lse if out is None else out.join(lse, list(by)) if by else out.crossJoin(lse)
-    return out
+    if "logsumexp" not in ops:
+        return t.groupBy(*by).agg(*plain)
+    # Sums of exponentials for each stretch of 512, relative to its upper end: no join with the greatest value.
+    x = F.col(value).cast("double")
+    level = F.ceil(x / 512.0)
+    parts = t.groupBy(*by, level.alias("_l")).agg(F.sum(F.exp(x - level * 512.0)).alias("_e"))
+    lse = parts.groupBy(*by).agg(F.max("_l").alias("_t"), F.collect_list(F.struct("_l", "_e")).alias("_p"))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_e"] * F.exp((p["_l"] - F.col("_t")) * 512.0))
+    lse = lse.select(*by, (F.col("_t") * 512.0 + F.log(total)).alias("logsumexp"))
+    if not plain:
+        return lse
+    out = t.groupBy(*by).agg(*plain)
+    return out.join(lse, list(by)) if by else out.crossJoin(lse)
 
 
 def arg_extremes(t: DataFrame, by: Sequence[str], index: str, value: str = "v") -> DataFrame:
@@ -257,8 +264,18 @@ def cartesian(*tables: DataFrame, bound: int = 1_000_000) -> DataFrame:
     return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), tables)
 
 
-def combinations(t: DataFrame, r: int, column: str, with_replacement: bool = False) -> DataFrame:
-    """Ordered-up combinations of r values."""
+def meshgrid(*axes: DataFrame, value: str = "v", bound: int = 10_000_000) -> DataFrame:
+    """Of axes (i, value): a row for each point, with its places i0, i1, ... and coordinates x0, x1, ..."""
+    named = [t.select(F.col("i").alias(f"i{k}"), F.col(value).alias(f"x{k}")) for k, t in enumerate(axes)]
+    out = cartesian(*named, bound=bound)
+    return out.select(*(f"i{k}" for k in range(len(axes))), *(f"x{k}" for k in range(len(axes))))
+
+
+def combinations(t: DataFrame, r: int, column: str, with_replacement: bool = False, bound: int = 10_000_000) -> DataFrame:
+    """Ordered-up combinations of r values; the result's size is checked first."""
+    n = t.count()
+    if (total := math.comb(n + r - 1 if with_replacement else n, r)) > bound:
+        raise ValueError(f"{total} combinations")
     out = t.select(F.col(column).alias("c0"))
     for k in range(1, r):
         new = t.select(F.col(column).alias(f"c{k}"))
@@ -407,68 +424,114 @@ def multinomial(weights: DataFrame, n: int, seed: int = 0, index: str = "i", wei
     return weights.where(F.col(weight) > 0).withColumn("_k", key).orderBy(F.desc("_k")).limit(n).select(index)
 
 
-# Linear algebra: one small matrix a row, in Arrow batches.
+# Linear algebra: one small matrix a row, an Arrow batch of them in one stacked call.
 
 _LINALG = {
-    "det": lambda m: [float(np.linalg.det(m))],
-    "inverse": lambda m: np.linalg.inv(m).ravel().tolist(),
-    "cholesky": lambda m: np.linalg.cholesky(m).ravel().tolist(),
-    "singular_values": lambda m: np.linalg.svd(m, compute_uv=False).tolist(),
-    "eigenvalues": lambda m: np.linalg.eigvalsh(m).tolist(),
-    "qr_r": lambda m: np.linalg.qr(m)[1].ravel().tolist(),
-    "pinverse": lambda m: np.linalg.pinv(m).ravel().tolist(),
+    "det": lambda m: np.linalg.det(m)[:, None],
+    "inverse": np.linalg.inv,
+    "cholesky": np.linalg.cholesky,
+    "singular_values": lambda m: np.linalg.svd(m, compute_uv=False),
+    "eigenvalues": np.linalg.eigvalsh,
+    "qr_r": lambda m: np.linalg.qr(m)[1],
+    "pinverse": np.linalg.pinv,
 }
 
 
+def _stacked(values: list, f, shape: tuple[int, ...]) -> list:
+    """f of arrays of one size all together; where it fails, one by one, and null for those that fail alone."""
+    out: list = [None] * len(values)
+    sizes: dict[int, list[int]] = {}
+    for k, x in enumerate(values):
+        if x is not None:
+            sizes.setdefault(len(x), []).append(k)
+    for at in sizes.values():
+        block = np.array([values[k] for k in at], float).reshape(len(at), *shape)
+        try:
+            made = f(block).reshape(len(at), -1).tolist()
+        except np.linalg.LinAlgError:
+            made = []
+            for m in block:
+                try:
+                    made.append(f(m[None]).ravel().tolist())
+                except np.linalg.LinAlgError:
+                    made.append(None)
+        for k, x in zip(at, made):
+            out[k] = x
+    return out
+
+
 def linalg(name: str, flat: Column, rows: int) -> Column:
     """A function of a matrix given as a flat array; singular ones give null."""
+    ship(SparkSession.active())
     f = _LINALG[name]
 
-    def one(x):
-        try:
-            return f(np.asarray(x, float).reshape(rows, -1))
-        except np.linalg.LinAlgError:
-            return None
-
     @F.pandas_udf("array<double>")
     def apply(m: pd.Series) -> pd.Series:
-        return m.map(lambda x: None if x is None else one(x))
+        return pd.Series(_stacked(list(m), f, (rows, -1)), dtype=object)
 
     return apply(flat)
 
 
 def solve(flat: Column, right: Column, least_squares: bool = False) -> Column:
+    """x of m x = y for each row; by the pseudo-inverse if the squares are to be least; null where there is none."""
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<double>")
     def apply(m: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            y = np.asarray(y, float)
-            a = np.asarray(x, float).reshape(len(y), -1)
-            return (np.linalg.lstsq(a, y, rcond=None)[0] if least_squares else np.linalg.solve(a, y)).tolist()
+        out: list = [None] * len(m)
+        for n in {len(y) for y in b if y is not None}:
+            at = [k for k, y in enumerate(b) if y is not None and len(y) == n and m.iloc[k] is not None]
+            both = [np.concatenate([m.iloc[k], b.iloc[k]]) for k in at]
 
-        return pd.Series([one(x, y) for x, y in zip(m, b)])
+            def one(block, n=n):
+                x, y = block[:, 0, :-n].reshape(len(block), n, -1), block[:, 0, -n:, None]
+                return np.linalg.pinv(x) @ y if least_squares else np.linalg.solve(x, y)
+
+            for k, x in zip(at, _stacked(both, one, (1, -1))):
+                out[k] = x
+        return pd.Series(out, dtype=object)
 
     return apply(flat, right)
 
 
+def _transform(arrays: list, f) -> list:
+    """f on arrays of one length all together."""
+    out: list = [None] * len(arrays)
+    sizes: dict[int, list[int]] = {}
+    for k, x in enumerate(arrays):
+        if x is not None:
+            sizes.setdefault(len(x), []).append(k)
+    for n, at in sizes.items():
+        made = f(np.array([arrays[k] for k in at], float).reshape(len(at), n))
+        for k, x in zip(at, made):
+            out[k] = x
+    return out
+
+
 def rfft(values: Column) -> Column:
     """(re, im) of the real transform of each array."""
+    ship(SparkSession.active())
+
     @F.pandas_udf("struct<re:array<double>,im:array<double>>")
     def apply(v: pd.Series) -> pd.DataFrame:
-        out = [np.fft.rfft(np.asarray(x, float)) for x in v]
-        return pd.DataFrame({"re": [o.real.tolist() for o in out], "im": [o.imag.tolist() for o in out]})
+        out = _transform(list(v), lambda x: np.fft.rfft(x, axis=1) if x.shape[1] else np.zeros((len(x), 0), complex))
+        return pd.DataFrame({"re": [None if o is None else o.real.tolist() for o in out], "im": [None if o is None else o.imag.tolist() for o in out]})
 
     return apply(values)
 
 
 def stft(values: Column, size: int, hop: int) -> Column:
     """Magnitudes of the short-time transform of each array: a list of frames."""
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<array<double>>")
     def apply(v: pd.Series) -> pd.Series:
-        def one(x):
-            x = np.asarray(x, float)
-            frames = [x[k : k + size] for k in range(0, len(x) - size + 1, hop)]
-            return [np.abs(np.fft.rfft(f)).tolist() for f in frames]
+        def every(x):
+            if x.shape[1] < size:
+                return [[] for _ in x]
+            frames = np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop]
+            return np.abs(np.fft.rfft(frames, axis=2)).tolist()
 
-        return v.map(one)
+        return pd.Series(_transform(list(v), every), dtype=object)
 
     return apply(values)

@@ -111,23 +111,39 @@ class Query:
         return not self.execute().isEmpty()
 
 
+#: Rows of a product of clauses that share no variable.
+MOST_PRODUCT = 100_000_000
+
+
 def _join(rows: DataFrame, own: DataFrame, optional: bool, nullable: set[str]) -> tuple[DataFrame, set[str]]:
-    """Natural join; a variable that an optional clause may have left unbound agrees with anything."""
+    """Natural join; a variable that an optional clause may have left unbound agrees with anything.
+
+    Rows are parted by which of these variables are bound, and each part is an
+    equality join on those that are.
+    """
     shared = [v for v in own.columns if v in rows.columns]
     new = [v for v in own.columns if v not in rows.columns]
-    how = "left" if optional else "inner"
-    nullable = nullable | (set(new) if optional else set())
-    if not shared:
-        return (rows.join(own, F.lit(True), how) if optional else rows.crossJoin(own)), nullable
-    loose = [v for v in shared if v in nullable]
-    if not loose:
-        return rows.join(own, shared, how), nullable
-    other = reduce(lambda d, v: d.withColumnRenamed(v, f"_o_{v}"), shared, own)
-    on = reduce(Column.__and__, [(F.col(v).isNull() | (F.col(v) == F.col(f"_o_{v}"))) if v in loose else F.col(v) == F.col(f"_o_{v}") for v in shared])
-    joined = rows.join(other, on, how)
-    for v in loose:
-        joined = joined.withColumn(v, F.coalesce(v, f"_o_{v}"))
-    return joined.drop(*(f"_o_{v}" for v in shared)), nullable
+    names = [*rows.columns, *new]
+    out = _parts(rows, own, shared, [v for v in shared if v in nullable], "left" if optional else "inner")
+    return out.select(names), nullable | (set(new) if optional else set())
+
+
+def _parts(rows: DataFrame, own: DataFrame, keys: list[str], loose: list[str], how: str) -> DataFrame:
+    if loose:
+        v, *rest = loose
+        bound = _parts(rows.where(F.col(v).isNotNull()), own, keys, rest, how)
+        return bound.unionByName(_parts(rows.where(F.col(v).isNull()).drop(v), own, [k for k in keys if k != v], rest, how))
+    if keys:
+        return rows.join(own, keys, how)
+    return _product(rows, own, how)
+
+
+def _product(rows: DataFrame, own: DataFrame, how: str) -> DataFrame:
+    """Every row with every match: asked for by clauses without a shared variable, and refused if it is too large."""
+    n = rows.count()
+    if n and (total := n * own.count()) > MOST_PRODUCT:
+        raise ValueError(f"clauses that share no variable have {total} combinations")
+    return rows.join(own, F.lit(True), how) if n else rows.join(own.limit(0), F.lit(True), "left")
 
 
 def find_matches(kb: KnowledgeBase, p: Pattern) -> DataFrame:

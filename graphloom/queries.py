@@ -207,7 +207,7 @@ def s14_parquet_round_trip(spark, sf):
 
 @q("SELECT 'customer:' || o_custkey AS x, 'order:' || o_orderkey AS y FROM orders")
 def f1_nested_match(spark, sf):
-    kb = KnowledgeBase(views.placed(spark, sf))
+    kb = views.orders(spark, sf)
     return compiler.named(query.find_matches(kb, P.evaluation("placed", X, Y)))
 
 
@@ -337,16 +337,14 @@ def f25_float_predicates(spark, sf):
 
 @q("SELECT 'customer:' || c_custkey AS x, 'nation:' || n_nationkey AS y, 'order:' || o_orderkey AS z FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 3")
 def j1_conjunctive(spark, sf):
-    kb = views.taxonomy(spark, sf)
-    kb = kb.replaced(kb.atoms.unionByName(views.placed(spark, sf)))
+    kb = views.trade(spark, sf)
     rows = Query(kb).match(P.evaluation("placed", X, Z)).match(P.inheritance(X, Y)).match(P.inheritance(Y, P.concept("region:3"))).execute()
     return compiler.named(rows.select("x", "y", "z"))
 
 
 @q("SELECT 'customer:' || c_custkey AS x, 'order:' || o_orderkey AS z FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 4")
 def j2_optional(spark, sf):
-    kb = views.taxonomy(spark, sf)
-    kb = kb.replaced(kb.atoms.unionByName(views.placed(spark, sf)))
+    kb = views.trade(spark, sf)
     rows = Query(kb).match(P.inheritance(X, P.concept("nation:4"))).optional_match(P.evaluation("placed", X, Z)).execute()
     return compiler.named(rows.where("x LIKE '%|customer:%'").select("x", "z"))
 
@@ -361,8 +359,7 @@ def j3_negation_global(spark, sf):
 
 @q("SELECT 'customer:' || c_custkey AS x FROM customer WHERE c_nationkey = 4 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def j4_negation_correlated(spark, sf):
-    kb = views.taxonomy(spark, sf)
-    kb = kb.replaced(kb.atoms.unionByName(views.placed(spark, sf)))
+    kb = views.trade(spark, sf)
     rows = Query(kb).match(P.inheritance(X, P.concept("nation:4"))).filter(F.col("x").startswith("ConceptNode|customer:")).not_match(P.evaluation("placed", X, Z), correlated=True).execute()
     return compiler.named(rows.select("x"))
 

@@ -17,15 +17,15 @@ TABLES = ("attention", "temporal", "atom_events")
 
 
 def write(kb: KnowledgeBase, path: str, mode: str = "overwrite") -> None:
-    """Scans by type read that type's files alone."""
-    kb.atoms.write.mode(mode).partitionBy("type").parquet(f"{path}/atoms")
+    """Scans by type read that type's files alone, and a point lookup the pages whose range of ids holds it."""
+    kb.atoms.repartition("atom_id").sortWithinPartitions("type", "atom_id").write.mode(mode).partitionBy("type").parquet(f"{path}/atoms")
     for name in TABLES:
         if (df := getattr(kb, name)) is not None:
             df.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def read(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> KnowledgeBase:
-    return KnowledgeBase(spark.read.parquet(f"{path}/atoms").select(schema.COLUMNS), **{t: spark.read.parquet(f"{path}/{t}") for t in tables})
+    return KnowledgeBase(spark.read.schema(schema.ATOMS).parquet(f"{path}/atoms").select(schema.COLUMNS), **{t: spark.read.parquet(f"{path}/{t}") for t in tables})
 
 
 # Vocabularies, merges, configurations

@@ -1,14 +1,22 @@
-"""The graph view of the star schema: which rows are which atoms, and the same edges in SQL."""
+"""The graph view of the star schema: which rows are which atoms, and the same edges in SQL.
+
+A knowledge base is stored once a session, partitioned by type, and read from
+there: a query doesn't derive the base again, and a clause scans the files of
+its own type.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom import schema
+from graphloom import schema, store
 from graphloom.kb import KnowledgeBase
+from graphloom.sources import tables
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +55,34 @@ e AS (
 """
 
 
-def taxonomy(spark: SparkSession, sf: str) -> KnowledgeBase:
-    """Inheritance: nations in regions, customers and suppliers in nations, parts in brands and types."""
-    parts = []
+#: Where the session keeps a view: by application, tables and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> KnowledgeBase:
+    """The base of these atoms, written to the shared folder at its first use."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = f"{store.checkpoint_dir(spark)}/kb-{name}-{uuid.uuid4().hex}"
+        tables.write(KnowledgeBase(make()), path)
+        _STORED[key] = path
+    return tables.read(spark, _STORED[key])
+
+
+def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    links, names = [], []
     for rows, child, parent, s, c in _edges(spark, sf):
         a, b = (schema.node_id("ConceptNode", x) for x in (child, parent))
-        parts += [schema.inheritance(rows, a, b, s=s, c=c), schema.concept(rows, child), schema.concept(rows.select(parent.alias("_p")).distinct(), F.col("_p"))]
-    return KnowledgeBase(reduce(DataFrame.unionByName, parts)).add()
+        links.append(schema.inheritance(rows, a, b, s=s, c=c))
+        names += [rows.select(child.alias("_name")), rows.select(parent.alias("_name")).distinct()]
+    # Children are keys of their tables, so links are distinct; names are deduplicated before they become atoms.
+    nodes = schema.concept(reduce(DataFrame.union, names).distinct(), F.col("_name"))
+    return reduce(DataFrame.unionByName, [*links, nodes])
+
+
+def taxonomy(spark: SparkSession, sf: str) -> KnowledgeBase:
+    """Inheritance: nations in regions, customers and suppliers in nations, parts in brands and types."""
+    return stored(spark, sf, "taxonomy", lambda: _taxonomy(spark, sf))
 
 
 def edge_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,10 +107,19 @@ def _evaluations(rows: DataFrame, predicate: str, a: Column, b: Column, s: Colum
     return schema.links(rows, "EvaluationLink", [F.lit(schema.node_key("PredicateNode", predicate)), args], s, c).unionByName(schema.links(rows, "ListLink", [a, b]))
 
 
+def orders(spark: SparkSession, sf: str) -> KnowledgeBase:
+    """The orders that customers placed, alone."""
+    return stored(spark, sf, "orders", lambda: placed(spark, sf))
+
+
+def trade(spark: SparkSession, sf: str) -> KnowledgeBase:
+    """Taxonomy with orders."""
+    return stored(spark, sf, "trade", lambda: _taxonomy(spark, sf).unionByName(placed(spark, sf)))
+
+
 def market(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Taxonomy with orders and their parts."""
-    kb = taxonomy(spark, sf)
-    return kb.replaced(kb.atoms.unionByName(placed(spark, sf)).unionByName(contains(spark, sf)))
+    return stored(spark, sf, "market", lambda: _taxonomy(spark, sf).unionByName(placed(spark, sf)).unionByName(contains(spark, sf)))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

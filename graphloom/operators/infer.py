@@ -150,7 +150,20 @@ def _changes(columns: list) -> np.ndarray:
 # Pair steps: quadratic in the candidates of a block, so candidates are thinned and blocked first.
 
 
+#: Candidates of a block whose pairs a step makes; a step with more is refused, as its result is their square.
+MOST_IN_BLOCK = 20_000
+
+
+def check_blocks(rows: DataFrame, block: str | None, most: int = MOST_IN_BLOCK) -> None:
+    """Refuses rows of which a block has more than `most`: one counting job."""
+    keys = [block] if block else []
+    over = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(1).collect()
+    if over:
+        raise ValueError(f"{over[0]['n']} candidates in a block; name a finer one, or raise the bound")
+
+
 def _pairs(nodes: DataFrame, block: str | None, condition: Column) -> DataFrame:
+    check_blocks(nodes, block)
     cols = ["atom_id", "tv_s", "tv_c"] + ([block] if block else [])
     a = nodes.select(*(F.col(c).alias(f"a_{c}") for c in cols))
     b = nodes.select(*(F.col(c).alias(f"b_{c}") for c in cols))
@@ -183,9 +196,10 @@ def disjunction_step(nodes: DataFrame, edges: DataFrame, least: float = 0.3, blo
     return _concluded(_unlinked(pairs, edges, "OrLink"), "OrLink", truth.disjunction)
 
 
-def similarity_step(nodes: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
-    """Similarity links for pairs of one type whose extensional similarity is enough."""
-    pairs = _pairs(nodes.where("tv_c > 0"), "type", F.col("a_atom_id") < F.col("b_atom_id"))
+def similarity_step(nodes: DataFrame, edges: DataFrame, least: float = 0.5, block: str | None = None) -> DataFrame:
+    """Similarity links for pairs of one type (and of one block, if a column is named) whose extensional similarity is enough."""
+    known = nodes.where("tv_c > 0").withColumn("_kind", F.struct("type", *([block] if block else [])))
+    pairs = _pairs(known, "_kind", F.col("a_atom_id") < F.col("b_atom_id"))
     return _concluded(_unlinked(pairs, edges, "SimilarityLink"), "SimilarityLink", truth.extensional_similarity).where(F.col("tv_s") >= least)
 
 
@@ -232,10 +246,13 @@ def apply_rules(edges: DataFrame, rules: Sequence[Callable[[DataFrame], DataFram
 # Fixed points
 
 
-def forward_chain(edges: DataFrame, iterations: int = 100, least: float = 0.1, cap: int | None = None, overwrite: bool = False, focus: DataFrame | None = None) -> DataFrame:
+def forward_chain(
+    edges: DataFrame, iterations: int = 100, least: float = 0.1, cap: int | None = None, overwrite: bool = False, focus: DataFrame | None = None, rules: Sequence[Callable[[DataFrame], DataFrame]] = ()
+) -> DataFrame:
     """Closure by deduction: conclusions (with `round`) of at least some confidence; asserted links stay.
 
-    cap limits a round's conclusions (most confident first); focus (atom_id) limits premises to links between its atoms.
+    cap limits a round's conclusions (most confident first); focus (atom_id) limits premises to links between its atoms;
+    rules are asked in every round for what they conclude from all that is known.
     """
     if focus is not None:
         for end in ("src", "dst"):
@@ -244,6 +261,7 @@ def forward_chain(edges: DataFrame, iterations: int = 100, least: float = 0.1, c
     delta, out = known, None
     for k in range(1, iterations + 1):
         found = deduce(delta, known) if k == 1 else deduce(delta, known).union(deduce(known, delta))
+        found = reduce(DataFrame.unionByName, [found, *(f(known).select(EDGE) for f in rules)])
         fresh = best(found.where(F.col("tv_c") >= least))
         if not overwrite:
             fresh = fresh.join(known, ["link_type", "src", "dst"], "left_anti")
@@ -261,6 +279,27 @@ def forward_chain(edges: DataFrame, iterations: int = 100, least: float = 0.1, c
     return out if out is not None else known.limit(0).withColumn("round", F.lit(0))
 
 
+def chain(edges: DataFrame, nodes: DataFrame, iterations: int = 100, least: float = 0.1, rules: Sequence[Callable[[DataFrame], DataFrame]] = (), **limits) -> tuple[DataFrame, DataFrame]:
+    """All default rules in every round: (conclusions, nodes with what abduction gave them).
+
+    Deduction makes links; abduction gives an antecedent the best value that an
+    observed consequent lends it, over the antecedent's own; induction counts
+    instances and concludes no link (see `induction_by_predicate`).  A round's
+    abduction observes the values of the round before; rounds end with the links'.
+    """
+    known, made = edges.select(EDGE), []
+    for k in range(1, iterations + 1):
+        lent = abduce(nodes, known).where(F.col("tv_c") >= least).select("atom_id", F.col("tv_s").alias("_s"), F.col("tv_c").alias("_c"))
+        nodes = cut(nodes.join(lent, "atom_id", "left").withColumn("tv_s", F.coalesce("_s", "tv_s")).withColumn("tv_c", F.coalesce("_c", "tv_c")).drop("_s", "_c"))
+        fresh = cut(forward_chain(known, 1, least, rules=rules, **limits).withColumn("round", F.lit(k)))
+        if fresh.isEmpty():
+            break
+        made.append(fresh)
+        known = cut(known.union(fresh.select(EDGE)))
+    empty = known.limit(0).withColumn("round", F.lit(0))
+    return reduce(DataFrame.unionByName, made, empty), nodes
+
+
 def implication_chain(edges: DataFrame, depth: int = 3, least: float = 0.0) -> DataFrame:
     """Paths of 2 to `depth` implications with confidence, folded by deduction.
 
@@ -292,35 +331,87 @@ def middle_terms(edges: DataFrame, goals: DataFrame) -> DataFrame:
     return g.join(a, ["link_type", "src"]).join(b, ["link_type", "mid", "dst"]).select("link_type", "src", "dst", "mid", tv.s.alias("tv_s"), tv.c.alias("tv_c"))
 
 
-def prove(edges: DataFrame, goals: DataFrame, depth: int = 10, proofs: int = 5) -> DataFrame:
+PROOF = ["link_type", "src", "dst", "depth", "path", "rule", "tv_s", "tv_c"]
+
+
+def prove(edges: DataFrame, goals: DataFrame, depth: int = 10, proofs: int = 5, rules: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = ()) -> DataFrame:
     """Backward chaining: proofs of goals (link_type, src, dst) as acyclic paths.
 
     (link_type, src, dst, depth, path, rule, tv_s, tv_c), at most `proofs` for each
-    goal: shortest first, then the most confident, then by path.
+    goal: shortest first, then the most confident, then by path.  A goal with a
+    null end is a pattern: every link that matches it is a proof, most confident
+    first.  A rule gets the goals and the edges and gives proofs of its own.
+
+    A round goes on only to atoms from which the goal can still be reached in the
+    steps that are left, and only for goals that lack proofs.
     """
     from pyspark.sql import Window
 
-    g = goals.select("link_type", "src", "dst").distinct()
+    asked = goals.select("link_type", "src", "dst").distinct()
+    g = asked.where("src IS NOT NULL AND dst IS NOT NULL")
+    near = _within(edges, g, depth)
     e = edges.select("link_type", F.col("src").alias("at"), F.col("dst").alias("to"), F.col("tv_s").alias("e_s"), F.col("tv_c").alias("e_c"))
-    front = g.join(e.withColumnRenamed("at", "src"), ["link_type", "src"]).select("link_type", "src", "dst", F.array("src", "to").alias("path"), F.col("to").alias("at"), F.col("e_s").alias("tv_s"), F.col("e_c").alias("tv_c"))
+    reach = near.select("link_type", "dst", F.col("node").alias("at"), "steps")
+    first = e.withColumnRenamed("at", "src")
+    front = g.join(first, ["link_type", "src"]).select("link_type", "src", "dst", F.array("src", "to").alias("path"), F.col("to").alias("at"), F.col("e_s").alias("tv_s"), F.col("e_c").alias("tv_c"))
     found: DataFrame | None = None
     for k in range(1, depth + 1):
-        front = cut(front)
+        front = cut(front.join(reach.where(F.col("steps") <= depth - k), ["link_type", "dst", "at"], "left_semi"))
         if front.isEmpty():
             break
         hit = front.where("at = dst").withColumn("depth", F.lit(k))
         found = hit if found is None else found.unionByName(hit)
         if k == depth:
             break
+        # Later proofs are longer, so a goal with enough of them is done.
+        done = found.groupBy("link_type", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= proofs)
         tv = truth.deduction(TV.of("tv_s", "tv_c"), TV.of("e_s", "e_c"))
-        open_ = front.where("at != dst").join(e, ["link_type", "at"]).where(~F.array_contains("path", F.col("to")))
+        open_ = front.where("at != dst").join(done, ["link_type", "src", "dst"], "left_anti").join(e, ["link_type", "at"]).where(~F.array_contains("path", F.col("to")))
         front = open_.select("link_type", "src", "dst", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"), tv.s.alias("tv_s"), tv.c.alias("tv_c"))
     if found is None:
-        found = front.withColumn("depth", F.lit(0))
-    w = Window.partitionBy("link_type", "src", "dst").orderBy("depth", F.desc("tv_c"), F.array_join("path", ","))
-    ranked = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= proofs)
+        found = front.withColumn("depth", F.lit(0)).limit(0)
     rule = F.when(F.col("depth") == 1, "direct").otherwise("deduction")
-    return ranked.select("link_type", "src", "dst", "depth", "path", rule.alias("rule"), "tv_s", "tv_c")
+    every = found.withColumn("rule", rule).select(PROOF).withColumn("_g", F.struct("src", "dst"))
+    every = every.unionByName(_matched(edges, asked.where("src IS NULL OR dst IS NULL")))
+    for f in rules:
+        every = every.unionByName(f(asked, edges).select(PROOF).withColumn("_g", F.struct("src", "dst")))
+    w = Window.partitionBy("link_type", "_g").orderBy("depth", F.desc("tv_c"), F.array_join("path", ","))
+    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= proofs).select(PROOF)
+
+
+def _within(edges: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
+    """(link_type, dst, node, steps): the least number of links, below `depth`, from a node to a goal's end."""
+    back = edges.select("link_type", F.col("src").alias("node"), F.col("dst").alias("at")).distinct()
+    front = goals.select("link_type", "dst").distinct().withColumn("node", F.col("dst"))
+    near = cut(front.withColumn("steps", F.lit(0)))
+    for k in range(1, depth):
+        step = front.withColumnRenamed("node", "at").join(back, ["link_type", "at"]).select("link_type", "dst", "node").distinct()
+        front = cut(step.join(near, ["link_type", "dst", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        near = near.unionByName(front.withColumn("steps", F.lit(k)))
+    return near
+
+
+def _matched(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """Links that match goals with a null end, as proofs of one step; `_g` is the goal."""
+    g = goals.select("link_type", F.col("src").alias("g_src"), F.col("dst").alias("g_dst"))
+    part = [
+        g.where("g_dst IS NULL AND g_src IS NOT NULL").join(edges.withColumn("g_src", F.col("src")), ["link_type", "g_src"]),
+        g.where("g_src IS NULL AND g_dst IS NOT NULL").join(edges.withColumn("g_dst", F.col("dst")), ["link_type", "g_dst"]),
+        g.where("g_src IS NULL AND g_dst IS NULL").join(edges, "link_type"),
+    ]
+    rows = reduce(DataFrame.unionByName, part)
+    made = rows.select("link_type", "src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"), F.lit("match").alias("rule"), "tv_s", "tv_c", F.struct(F.col("g_src").alias("src"), F.col("g_dst").alias("dst")).alias("_g"))
+    return made
+
+
+def can_prove(edges: DataFrame, goals: DataFrame, depth: int = 10) -> DataFrame:
+    """Ground goals with whether there is a proof, and the best proof's truth value (else the default)."""
+    top = best_proof(prove(edges, goals, depth)).select("link_type", "src", "dst", "tv_s", "tv_c")
+    rows = goals.select("link_type", "src", "dst").distinct().join(top, ["link_type", "src", "dst"], "left")
+    s, c = truth.DEFAULT
+    return rows.select("link_type", "src", "dst", F.col("tv_s").isNotNull().alias("proved"), F.coalesce("tv_s", F.lit(s)).alias("tv_s"), F.coalesce("tv_c", F.lit(c)).alias("tv_c"))
 
 
 def best_proof(proofs: DataFrame) -> DataFrame:
@@ -377,17 +468,28 @@ class Pipeline:
     def induction(self) -> Pipeline:
         return self.add("induction", induction_step)
 
+    def _filled(self, name: str, type_: str, rule: Callable[[TV, TV], TV], step: Callable[[DataFrame], DataFrame]) -> Pipeline:
+        """A step of pairs: links of its type without confidence get the rule's value, and missing ones are made."""
+
+        def run(d: DataFrame) -> DataFrame:
+            key = ["link_type", "src", "dst"]
+            own = fill(d.where((F.col("link_type") == type_) & (F.col("tv_c") == 0)), self.nodes, rule).select(EDGE)
+            made = step(d).select(EDGE).join(d, key, "left_anti").select(EDGE)
+            return d.join(own, key, "left_anti").select(EDGE).unionByName(own).unionByName(made)
+
+        return self.add(name, run, keep=False)
+
     def conjunction(self, least: float = 0.5, block: str | None = None) -> Pipeline:
-        return self.add("conjunction", lambda d: conjunction_step(self.nodes, d, least, block))
+        return self._filled("conjunction", "AndLink", truth.conjunction, lambda d: conjunction_step(self.nodes, d, least, block))
 
     def disjunction(self, least: float = 0.3, block: str | None = None) -> Pipeline:
-        return self.add("disjunction", lambda d: disjunction_step(self.nodes, d, least, block))
+        return self._filled("disjunction", "OrLink", truth.disjunction, lambda d: disjunction_step(self.nodes, d, least, block))
 
     def similarity(self, least: float = 0.5) -> Pipeline:
-        return self.add("similarity", lambda d: similarity_step(self.nodes, d, least))
+        return self._filled("similarity", "SimilarityLink", truth.extensional_similarity, lambda d: similarity_step(self.nodes, d, least))
 
     def implication(self, antecedent: float = 0.5, least: float = 0.5, block: str | None = None) -> Pipeline:
-        return self.add("implication", lambda d: implication_step(self.nodes, d, antecedent, least, block))
+        return self._filled("implication", "ImplicationLink", truth.implication, lambda d: implication_step(self.nodes, d, antecedent, least, block))
 
     def implication_chain(self, depth: int = 3, least: float = 0.0) -> Pipeline:
         return self.add("implication chain", lambda d: implication_chain(d, depth, least).withColumn("link_type", F.lit("ImplicationLink")))

@@ -180,10 +180,10 @@ def s22_generators(spark, sf):
 
 @q(_with(E) + " SELECT DISTINCT src, dst, round(s, 5) AS s, round(c, 5) AS c FROM e")
 def s14_s15_binary_round_trip(spark, sf):
-    """The taxonomy through the byte format of a single process."""
+    """The taxonomy through files of the byte format, made and parsed in tasks."""
     from graphloom.sources import binary
 
-    back = binary.deserialise(spark, binary.serialise(views.taxonomy(spark, sf)))
+    back = binary.from_files(binary.to_files(views.taxonomy(spark, sf), 5000))
     return compiler.named(back.edges().select("src", "dst", r("tv_s", 5).alias("s"), r("tv_c", 5).alias("c")), "src", "dst")
 
 
@@ -584,11 +584,12 @@ def a19_coalesce(spark, sf):
     return tensor.coalesce(load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("v")))
 
 
-@q("SELECT label AS doc_id, round(avg(embedding[1]::DOUBLE) FILTER (vec_id % 3 <> 0), 5) AS mean0, round(max(CASE WHEN vec_id % 3 = 0 THEN -1e9 ELSE embedding[1]::DOUBLE END), 5) AS max0, round(arg_min(embedding[1]::DOUBLE, vec_id), 5) AS cls0, round(arg_max(embedding[1]::DOUBLE, vec_id), 5) AS last0 FROM embeddings GROUP BY label")
+@q("SELECT label AS doc_id, (d - 1)::INT AS dim, round(avg(embedding[d]::DOUBLE) FILTER (vec_id % 3 <> 0), 5) AS mean, round(max(CASE WHEN vec_id % 3 = 0 THEN -1e9 ELSE embedding[d]::DOUBLE END), 5) AS max, round(arg_min(embedding[d]::DOUBLE, vec_id), 5) AS cls, round(arg_max(embedding[d]::DOUBLE, vec_id), 5) AS last FROM embeddings, (SELECT unnest(range(1, 65)) AS d) GROUP BY label, d")
 def a20_pooling(spark, sf):
+    """Every dimension of each way to pool."""
     t = load(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("pos"), "embedding", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
-    first = lambda how: vector.pool(t, how).select("doc_id", r(F.col("pooled")[0].cast("double"), 5).alias(f"{how}0"))
-    return first("mean").join(first("max"), "doc_id").join(first("cls"), "doc_id").join(first("last"), "doc_id")
+    each = lambda how: vector.pool(t, how).select("doc_id", F.posexplode("pooled").alias("dim", "x")).select("doc_id", "dim", r(F.col("x").cast("double"), 5).alias(how))
+    return each("mean").join(each("max"), ["doc_id", "dim"]).join(each("cls"), ["doc_id", "dim"]).join(each("last"), ["doc_id", "dim"])
 
 
 @q("SELECT DISTINCT 'nation:' || c_nationkey AS y FROM customer")
@@ -805,7 +806,13 @@ def r14_deduction_step(spark, sf):
     return infer.deduction_step(views.edge_table(spark, sf), 0.3).select("src", "dst", r("tv_s").alias("s"), r("tv_c").alias("c"))
 
 
-NODE_TV = "nv AS (SELECT 'nation:' || n_nationkey AS id, n_regionkey AS block, 0.4 + (n_nationkey % 7) / 10.0::DOUBLE AS s, 0.8::DOUBLE AS c FROM nation)"
+NODE_TV = "nv AS (SELECT 'doc:' || doc_id AS id, doc_id // 20 AS block, 0.4 + (doc_id % 7) / 10.0::DOUBLE AS s, 0.8::DOUBLE AS c FROM documents)"
+
+
+def _document_nodes(spark, sf) -> DataFrame:
+    """A node a document, with the twenty neighbours in id as its block: pairs grow with the table."""
+    i = F.col("doc_id")
+    return load(spark, sf, "documents").select(views.ident("doc", "doc_id").alias("atom_id"), F.lit("ConceptNode").alias("type"), F.floor(i / 20).alias("block"), (0.4 + (i % 7) / 10.0).alias("tv_s"), F.lit(0.8).alias("tv_c"))
 
 
 def _nation_nodes(spark, sf) -> DataFrame:
@@ -822,22 +829,22 @@ def _links(df: DataFrame) -> DataFrame:
 
 @q(_pair_sql("a.s >= 0.5 AND b.s >= 0.5", "a.s * b.s", "a.c * b.c"))
 def r18_conjunction(spark, sf):
-    return _links(infer.conjunction_step(_nation_nodes(spark, sf), views.edge_table(spark, sf), 0.5, "block"))
+    return _links(infer.conjunction_step(_document_nodes(spark, sf), views.edge_table(spark, sf), 0.5, "block"))
 
 
 @q(_pair_sql("a.s >= 0.3 AND b.s >= 0.3", "a.s + b.s - a.s * b.s", "(a.c + b.c) / 2"))
 def r19_disjunction(spark, sf):
-    return _links(infer.disjunction_step(_nation_nodes(spark, sf), views.edge_table(spark, sf), 0.3, "block"))
+    return _links(infer.disjunction_step(_document_nodes(spark, sf), views.edge_table(spark, sf), 0.3, "block"))
 
 
-@q(_pair_sql("a.s * b.s / (a.s + b.s - a.s * b.s + 1e-6) >= 0.5", "a.s * b.s / (a.s + b.s - a.s * b.s + 1e-6)", "least(a.c, b.c)", block=""))
+@q(_pair_sql("a.s * b.s / (a.s + b.s - a.s * b.s + 1e-6) >= 0.5", "a.s * b.s / (a.s + b.s - a.s * b.s + 1e-6)", "least(a.c, b.c)"))
 def r20_similarity(spark, sf):
-    return _links(infer.similarity_step(_nation_nodes(spark, sf), views.edge_table(spark, sf), 0.5))
+    return _links(infer.similarity_step(_document_nodes(spark, sf), views.edge_table(spark, sf), 0.5, "block"))
 
 
 @q(_pair_sql("a.s >= 0.5 AND 1 - a.s + a.s * b.s >= 0.5", "1 - a.s + a.s * b.s", "least(a.c, b.c)", order="a.id <> b.id"))
 def r21_implication(spark, sf):
-    return _links(infer.implication_step(_nation_nodes(spark, sf), views.edge_table(spark, sf), block="block"))
+    return _links(infer.implication_step(_document_nodes(spark, sf), views.edge_table(spark, sf), block="block"))
 
 
 CHAIN = "two AS (SELECT a.src, b.dst, a.s * b.s AS s, a.c * b.c * (a.s + b.s) / (1 + a.s * b.s) AS c FROM i a JOIN i b ON a.dst = b.src), three AS (SELECT t.src, b.dst, t.s * b.s AS s, t.c * b.c * (t.s + b.s) / (1 + t.s * b.s) AS c FROM two t JOIN i b ON t.dst = b.src)"
@@ -881,7 +888,7 @@ def r7_single_step(spark, sf):
 
 @q(_pair_sql("true", "a.s * b.s", "a.c * b.c"))
 def t22_rule_over_pairs(spark, sf):
-    return _links(infer.over_pairs(_nation_nodes(spark, sf), truth.conjunction, "block"))
+    return _links(infer.over_pairs(_document_nodes(spark, sf), truth.conjunction, "block"))
 
 
 # Attention, association, time
@@ -957,15 +964,25 @@ def e14_learn_from_focus(spark, sf):
     return _links(hebbian.learn(none, pairs))
 
 
-@q(_with(B, G) + ", fo AS (SELECT atom_id, sti FROM b WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 100) SELECT round(sum(sti) - (SELECT least(100, count(*)) FROM fo WHERE sti >= 1) - (SELECT coalesce(sum(sti), 0) FROM fo WHERE sti < 1), 2) AS sti_after_rent, (SELECT count(*) FROM (SELECT a.atom_id AS x, c.atom_id AS y FROM fo a JOIN fo c ON a.atom_id < c.atom_id UNION SELECT least(src, dst), greatest(src, dst) FROM g)) AS links FROM b")
+CYCLE = """fo AS (SELECT atom_id, sti FROM b WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 100),
+p AS (SELECT a.atom_id AS src, c.atom_id AS dst FROM fo a JOIN fo c ON a.atom_id < c.atom_id),
+k AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, s FROM g),
+l AS (SELECT coalesce(k.src, p.src) AS src, coalesce(k.dst, p.dst) AS dst, CASE WHEN k.src IS NULL THEN 0.5 WHEN p.src IS NOT NULL THEN least(1, s + 0.1::DOUBLE * (1 - s)) ELSE s END AS s FROM k FULL JOIN p ON k.src = p.src AND k.dst = p.dst),
+h AS (SELECT src, dst, s FROM l UNION ALL SELECT dst, src, s FROM l),
+gv AS (SELECT atom_id, least(sti * 0.1::DOUBLE, 100.0::DOUBLE) AS give FROM fo WHERE sti > 0),
+fl AS (SELECT src, dst, give * s / sum(s) OVER (PARTITION BY src) AS a FROM h JOIN gv ON gv.atom_id = src),
+ne AS (SELECT src AS atom_id, -a AS a FROM fl UNION ALL SELECT dst, a FROM fl),
+sp AS (SELECT b.atom_id, any_value(sti) + coalesce(sum(a), 0) AS sti FROM b LEFT JOIN ne ON ne.atom_id = b.atom_id GROUP BY b.atom_id),
+f2 AS (SELECT atom_id FROM sp WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 100)"""
+
+
+@q(_with(B, G, CYCLE) + " SELECT atom_id, round(CASE WHEN atom_id IN (SELECT atom_id FROM f2) THEN greatest(0, sti - 1) ELSE sti END, 4) AS sti, (SELECT count(*) FROM l) AS links FROM sp")
 def e12_cycle(spark, sf):
-    """One economic cycle: the spread keeps the sum, rent takes one from each focused atom."""
+    """One economic cycle: links of the focus, spread along them, rent."""
     h = views.associations(spark, sf)
     h = h.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "tv_s", "tv_c")
-    b = views.bank(spark, sf)
-    links = attention.link_update(h, attention.co_active_pairs(attention.focus(b)))
-    after = attention.rent(b)
-    return after.agg(r(F.sum("sti"), 2).alias("sti_after_rent")).crossJoin(F.broadcast(links.agg(F.count(F.lit(1)).alias("links"))))
+    after, links = attention.cycle(views.bank(spark, sf), h, 1)
+    return after.select("atom_id", r("sti", 4).alias("sti")).crossJoin(F.broadcast(links.agg(F.count(F.lit(1)).alias("links"))))
 
 
 @q("SELECT 'user:' || user_id AS atom_id, max(ts) FILTER (event_type = 'signup') AS created_at, max(ts) FILTER (event_type = 'view') AS accessed_at, max(ts) FILTER (event_type = 'purchase') AS modified_at FROM events GROUP BY 1")
@@ -1140,9 +1157,15 @@ def x16_elementwise(spark, sf):
     )
 
 
-@q("SELECT p_partkey, round(lgamma(p_size + 0.5), 5) AS lgamma FROM part")
+@q("SELECT p_partkey, round(lgamma(p_size + 0.5), 5) AS lgamma, round(1 / (p_size / 7.0::DOUBLE), 6) AS digamma_step, round(1 / (p_size / 7.0::DOUBLE) ** 2, 6) AS trigamma_step, round(p_size / 60.0::DOUBLE, 6) AS erf_inverse, 1.0::DOUBLE AS erf_sum FROM part")
 def x17_special(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", r(numeric.special("lgamma", F.col("p_size") + 0.5), 5).alias("lgamma"))
+    """Recurrences and inverses that hold for the special functions, and lgamma itself."""
+    x, y = F.col("p_size") / 7.0, F.col("p_size") / 60.0
+    f = numeric.special
+    return load(spark, sf, "part").select(
+        "p_partkey", r(f("lgamma", F.col("p_size") + 0.5), 5).alias("lgamma"), r(f("digamma", x + 1) - f("digamma", x)).alias("digamma_step"),
+        r(f("polygamma", x) - f("polygamma", x + 1)).alias("trigamma_step"), r(f("erf", f("erfinv", y))).alias("erf_inverse"), r(f("erf", y) + f("erfc", y)).alias("erf_sum"),
+    )
 
 
 @q("SELECT vec_id, d AS i, round(embedding[d + 9]::DOUBLE, 6) AS v FROM embeddings, (SELECT unnest(range(0, 8)) AS d)")
@@ -1173,22 +1196,48 @@ def x20_cast(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").cast("int").alias("i"), c("l_tax").cast("float").cast("double").alias("f"), (c("l_quantity") > 25).cast("int").alias("b"))
 
 
-@q("SELECT round(avg((l_tax - l_discount) * (l_tax - l_discount)), 8) AS mse, round(avg(abs(l_tax - l_discount)), 8) AS l1 FROM lineitem")
+@q("SELECT round(avg((l_tax - l_discount) * (l_tax - l_discount)), 8) AS mse, round(avg(abs(l_tax - l_discount)), 8) AS l1, round(avg(CASE WHEN l_discount > 0 THEN l_discount * (ln(l_discount) - ln(l_tax + 0.1)) ELSE 0 END), 8) AS kl_div, round(-avg(CASE l_linenumber % 3 WHEN 0 THEN ln(0.2) WHEN 1 THEN ln(0.3) ELSE ln(0.5) END), 8) AS nll FROM lineitem")
 def x22_losses(spark, sf):
-    a, b = F.col("l_tax"), F.col("l_discount")
-    return load(spark, sf, "lineitem").agg(r(numeric.LOSSES["mse"](a, b), 8).alias("mse"), r(numeric.LOSSES["l1"](a, b), 8).alias("l1"))
+    a, b, loss = F.col("l_tax"), F.col("l_discount"), numeric.LOSSES
+    log_p = F.array(*(F.log(F.lit(p)) for p in (0.2, 0.3, 0.5)))
+    return load(spark, sf, "lineitem").agg(r(loss["mse"](a, b), 8).alias("mse"), r(loss["l1"](a, b), 8).alias("l1"), r(loss["kl_div"](F.log(a + 0.1), b), 8).alias("kl_div"), r(loss["nll"](log_p, F.col("l_linenumber") % 3), 8).alias("nll"))
+
+
+@q(f"SELECT round(avg(CASE WHEN a.label = q.label THEN 1 - {NEAR} ELSE greatest(0, {NEAR} - 0.1) END), 8) AS loss FROM embeddings a JOIN embeddings q ON q.vec_id = a.vec_id + 1")
+def x22_cosine_embedding(spark, sf):
+    e = load(spark, sf, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("l"))
+    y = F.when(F.col("label") == F.col("l"), 1).otherwise(-1)
+    return e.join(b, "vec_id").agg(r(numeric.cosine_embedding_loss(F.col("embedding"), F.col("other"), y, 0.1), 8).alias("loss"))
 
 
-@q("SELECT vec_id, round((2 + e[1]) * (3 + e[4]) - e[2] * e[3], 5) AS det FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
-def x24_det(spark, sf):
+@q("""SELECT vec_id, round(a * d - b * b, 5) AS det, round(d / (a * d - b * b), 5) AS inverse0, round(-b / (a * d - b * b), 5) AS inverse1, round((a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b), 5) AS eigen0, round((a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b), 5) AS singular0, round(b / sqrt(a), 5) AS cholesky2, round((d * 1 - b * 2) / (a * d - b * b), 5) AS x0, round((a * 2 - b * 1) / (a * d - b * b), 5) AS x1
+FROM (SELECT vec_id, embedding[1]::DOUBLE + 2 AS a, embedding[2]::DOUBLE AS b, embedding[4]::DOUBLE + 3 AS d FROM embeddings)""")
+def x24_linear_algebra(spark, sf):
+    """Determinant, inverse, eigenvalues, singular values, Cholesky factor and solution of small symmetric systems."""
     e = [F.col("embedding")[k].cast("double") for k in range(4)]
-    m = F.array(e[0] + 2, e[1], e[2], e[3] + 3)
-    return load(spark, sf, "embeddings").select("vec_id", m.alias("m")).select("vec_id", r(tensor.linalg("det", F.col("m"), 2)[0], 5).alias("det"))
+    t = load(spark, sf, "embeddings").select("vec_id", F.array(e[0] + 2, e[1], e[1], e[3] + 3).alias("m"))
+    f = lambda name, k: r(tensor.linalg(name, F.col("m"), 2)[k], 5)
+    x = tensor.solve(F.col("m"), F.array(F.lit(1.0), F.lit(2.0)))
+    return t.select("vec_id", f("det", 0).alias("det"), f("inverse", 0).alias("inverse0"), f("inverse", 1).alias("inverse1"), f("eigenvalues", 0).alias("eigen0"), f("singular_values", 0).alias("singular0"), f("cholesky", 2).alias("cholesky2"), r(x[0], 5).alias("x0"), r(x[1], 5).alias("x1"))
 
 
-@q("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS dc FROM embeddings")
+WAVE = "list_sum(list_transform(range(0, 64), lambda n: e[n + 1] * {}(2 * pi() * k * n / 64)))"
+
+
+@q(f"SELECT vec_id, k::INT AS k, round({WAVE.format('cos')}, 4) + 0.0 AS re, round(-{WAVE.format('sin')}, 4) + 0.0 AS im FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT unnest(range(0, 33)) AS k)")
 def x25_spectrum(spark, sf):
-    return load(spark, sf, "embeddings").select("vec_id", tensor.rfft(F.col("embedding").cast("array<double>")).alias("f")).select("vec_id", r(F.col("f.re")[0], 4).alias("dc"))
+    """The whole real transform."""
+    f = load(spark, sf, "embeddings").select("vec_id", tensor.rfft(F.col("embedding").cast("array<double>")).alias("f"))
+    rows = f.select("vec_id", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "z"))
+    return rows.select("vec_id", "k", (r("z.re", 4) + 0.0).alias("re"), (r("z.im", 4) + 0.0).alias("im"))
+
+
+@q("SELECT vec_id, w::INT AS w, round(abs(list_sum(embedding[w * 8 + 1 : w * 8 + 16]::DOUBLE[])), 4) AS level FROM embeddings, (SELECT unnest(range(0, 7)) AS w)")
+def x25_frames(spark, sf):
+    """The constant part of each frame of the short-time transform."""
+    t = load(spark, sf, "embeddings").select("vec_id", F.posexplode(tensor.stft(F.col("embedding").cast("array<double>"), 16, 8)).alias("w", "frame"))
+    return t.select("vec_id", "w", r(F.col("frame")[0], 4).alias("level"))
 
 
 @q("SELECT i, j, v FROM (" + SPARSE + ") WHERE v <> 0")
@@ -1207,3 +1256,148 @@ def st1_windowed_stream(spark, sf):
     sample = load(spark, sf, "events")
     s = cycles.read(spark, sf, sample, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return cycles.drain(cycles.windowed(s, ["event_type"])).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
+
+
+# More of the inventory: rows for what other rows only touch.
+
+
+@q("SELECT a AS i0, b AS i1, 0.5 + a * 0.5::DOUBLE AS x0, 10.0 ** b AS x1 FROM (SELECT range AS a FROM range(4)), (SELECT range AS b FROM range(3))")
+def j14_meshgrid(spark, sf):
+    return tensor.meshgrid(tensor.linspace(spark, 0.5, 2.0, 4), tensor.logspace(spark, 0.0, 2.0, 3).withColumn("v", F.round("v", 6)))
+
+
+@q("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def s18_arrow_interchange(spark, sf):
+    """Vectors leave as Arrow batches, pass through numpy and come back."""
+    import pyarrow as pa
+
+    def totals(batches):
+        for b in batches:
+            x = b.column("embedding")
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([float(v.values.to_numpy().astype(float).sum()) for v in x])], ["vec_id", "total"])
+
+    return load(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(totals, "vec_id long, total double").select("vec_id", r("total", 4).alias("total"))
+
+
+@q("SELECT o, l, round(1 - s1, 6) AS not_s, round(c1, 6) AS not_c, round(s1 * s2, 6) AS ded_s, round(c1 * c2 * (s1 + s2) / (1 + s1 * s2 + 1e-7), 6) AS ded_c FROM (WITH " + PAIR + " SELECT * FROM p)")
+def t18_t19_unary_not_deduction(spark, sf):
+    t, a, b = _pairs(spark, sf)
+    return t.select("o", "l", *tv(truth.batch("NOT", a), "not_"), *tv(truth.batch_deduction(a, b), "ded_"))
+
+
+@q(_with(E) + " SELECT DISTINCT src AS x FROM e WHERE dst = 'nation:3' AND src LIKE 'customer:%'")
+def t23_candidates(spark, sf):
+    """A pattern over a list of candidates."""
+    kb = views.taxonomy(spark, sf)
+    some = kb.by_type("InheritanceLink").where(schema.name_of(kb.outgoing_atom(0)).startswith("customer:"))
+    return compiler.named(compiler.compile_pattern(kb.atoms, P.inheritance(X, P.concept("nation:3")), candidates=some).select("x"))
+
+
+@q(_with(E) + " SELECT DISTINCT src, dst FROM e WHERE s >= 0.8 AND c >= 0.75 AND dst LIKE 'nation:%'")
+def f12_truth_filter_of_a_list(spark, sf):
+    kb = views.taxonomy(spark, sf)
+    listed = kb.replaced(kb.by_type("InheritanceLink").where(schema.name_of(kb.outgoing_atom(1)).startswith("nation:")))
+    return compiler.named(kb.replaced(query.find_by_truth(listed, 0.8, 0.75)).edges().select("src", "dst"))
+
+
+@q(_with(E) + ", t AS (SELECT DISTINCT src, dst, s, c FROM e WHERE dst LIKE 'region:%') SELECT src, dst, 1 AS depth, 'match' AS rule, round(s, 6) AS s FROM t")
+def r8_pattern_goals(spark, sf):
+    """Who is of a region: goals with an open end."""
+    goals = load(spark, sf, "region").select(F.lit("InheritanceLink").alias("link_type"), F.lit(None).cast("string").alias("src"), views.ident("region", "r_regionkey").alias("dst"))
+    return infer.prove(views.edge_table(spark, sf), goals, proofs=1000).select("src", "dst", "depth", "rule", r("tv_s").alias("s"))
+
+
+@q(_with(E, DEDUCE) + ", w AS (SELECT 'customer:' || c_custkey AS src, c_nationkey FROM customer) SELECT w.src, d.src IS NOT NULL AS proved, round(coalesce(s, 0.5), 6) AS s, round(coalesce(c, 0), 6) AS c FROM w LEFT JOIN d ON d.src = w.src AND d.dst = 'region:1'")
+def r8_can_prove(spark, sf):
+    goals = load(spark, sf, "customer").select(F.lit("InheritanceLink").alias("link_type"), views.ident("customer", "c_custkey").alias("src"), F.lit("region:1").alias("dst"))
+    return infer.can_prove(views.edge_table(spark, sf), goals, 3).select("src", "proved", r("tv_s").alias("s"), r("tv_c").alias("c"))
+
+
+@q("SELECT 'customer:' || c_custkey AS src, 'deduction customer:' || c_custkey || ' -> region:3' || chr(10) || '  customer:' || c_custkey || ' -> nation:' || c_nationkey || chr(10) || '    nation:' || c_nationkey || ' -> region:3' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3")
+def r9_rendered_proofs(spark, sf):
+    goals = load(spark, sf, "customer").select(F.lit("InheritanceLink").alias("link_type"), views.ident("customer", "c_custkey").alias("src"), F.lit("region:3").alias("dst"))
+    return infer.render(infer.prove(views.edge_table(spark, sf), goals, 3)).select("src", "text")
+
+
+@q(_with(E) + """, o AS (SELECT 'nation:' || n_nationkey AS id, 0.7 + (n_nationkey % 3) / 10.0::DOUBLE AS s, 0.8::DOUBLE AS c FROM nation UNION ALL SELECT 'customer:' || c_custkey, 0.5, 0.0 FROM customer),
+f AS (SELECT e.src AS id, o.s * e.s AS s, 0.8 * o.c * e.c * e.s / (1 + o.s) AS c FROM e JOIN o ON o.id = e.dst), t AS (SELECT id, max(s) AS s, max(c) AS c FROM f WHERE c >= 0.1 GROUP BY id)
+SELECT o.id AS atom_id, round(coalesce(t.s, o.s), 6) AS s, round(coalesce(t.c, o.c), 6) AS c FROM o LEFT JOIN t USING (id)""")
+def r4_r5_abduction_in_chain(spark, sf):
+    """A round of all default rules: customers get what their nations lend them."""
+    nations = load(spark, sf, "nation").select(views.ident("nation", "n_nationkey").alias("atom_id"), (0.7 + (F.col("n_nationkey") % 3) / 10.0).alias("tv_s"), F.lit(0.8).alias("tv_c"))
+    customers = load(spark, sf, "customer").select(views.ident("customer", "c_custkey").alias("atom_id"), F.lit(0.5).alias("tv_s"), F.lit(0.0).alias("tv_c"))
+    _, nodes = infer.chain(views.edge_table(spark, sf), nations.union(customers), 1)
+    return nodes.select("atom_id", r("tv_s").alias("s"), r("tv_c").alias("c"))
+
+
+@q(_with(E, DEDUCE) + """, m AS (SELECT DISTINCT 'PartLink' AS link_type, dst AS src, src AS dst, s, c FROM e WHERE src LIKE 'nation:%')
+SELECT 'InheritanceLink' AS link_type, src, dst, round(max(s), 6) AS s, round(max(c), 6) AS c FROM d WHERE c >= 0.1 GROUP BY src, dst UNION ALL SELECT link_type, src, dst, round(s, 6), round(c, 6) FROM m""")
+def r7_custom_rule_in_chain(spark, sf):
+    """A rule of the user's own works beside deduction in every round."""
+
+    def parts(edges):
+        return edges.where("link_type = 'InheritanceLink' AND src LIKE 'nation:%' AND dst LIKE 'region:%'").select(F.lit("PartLink").alias("link_type"), F.col("dst").alias("src"), F.col("src").alias("dst"), "tv_s", "tv_c")
+
+    return infer.forward_chain(views.edge_table(spark, sf), 5, 0.1, rules=[parts]).select("link_type", "src", "dst", r("tv_s").alias("s"), r("tv_c").alias("c"))
+
+
+@q(_with(E, DEDUCE) + " SELECT src, dst, round(s, 6) AS s FROM (SELECT DISTINCT src, dst, s, c FROM e UNION ALL SELECT src, dst, max(s), max(c) FROM d WHERE c >= 0.1 GROUP BY src, dst) WHERE s >= 0.5")
+def r11_r13_forward_pipeline(spark, sf):
+    """Links of a type, forward chaining, a strength."""
+    done, _, _ = infer.forward_pipeline(views.edge_table(spark, sf), "InheritanceLink").run()
+    return done.select("src", "dst", r("tv_s").alias("s"))
+
+
+@q(_with(E, DEDUCE) + " SELECT src, dst, round(s, 6) AS s FROM d WHERE src LIKE 'customer:%' AND dst = 'region:2' AND c >= 0.6")
+def r12_hypothesis_pipeline(spark, sf):
+    """Proofs of goals, then a confidence."""
+    goals = load(spark, sf, "customer").select(F.lit("InheritanceLink").alias("link_type"), views.ident("customer", "c_custkey").alias("src"), F.lit("region:2").alias("dst"))
+    done, _, _ = infer.hypothesis_pipeline(views.edge_table(spark, sf), goals).run()
+    return done.select("src", "dst", r("tv_s").alias("s"))
+
+
+FILLED = "SELECT src, dst, round({s}, 6) AS s, round({c}, 6) AS c FROM (SELECT a.id AS src, b.id AS dst, a.s AS s1, a.c AS c1, b.s AS s2, b.c AS c2 FROM nv a JOIN nv b ON a.block = b.block AND a.id < b.id) WHERE s1 >= {least} AND s2 >= {least}"
+
+
+@q("WITH " + NODE_TV + " " + FILLED.format(s="s1 * s2", c="c1 * c2", least=0.5))
+def r18_filled_in_pipeline(spark, sf):
+    """Half of the links are there without confidence: the step gives them the value, and makes the others."""
+    nodes = _document_nodes(spark, sf)
+    made = infer.conjunction_step(nodes, infer.conjunction_step(nodes.limit(0), views.edge_table(spark, sf).limit(0), 0.5, "block"), 0.5, "block")
+    there = made.where(F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == 0).withColumn("tv_s", F.lit(1.0)).withColumn("tv_c", F.lit(0.0))
+    done, _, _ = infer.Pipeline(there, nodes).conjunction(0.5, "block").run()
+    return _links(done)
+
+
+@q(_with(B) + " SELECT count(*) AS n, round(sum(sti), 2) AS sti, 0::BIGINT AS cleared FROM (SELECT * FROM b WHERE CAST(substr(atom_id, 6) AS INT) % 3 <> 0)")
+def e6_remove_size(spark, sf):
+    b = views.bank(spark, sf)
+    left = attention.remove(b, b.where(F.substring("atom_id", 6, 20).cast("int") % 3 == 0))
+    return left.agg(F.count(F.lit(1)).alias("n"), r(F.sum("sti"), 2).alias("sti")).withColumn("cleared", F.lit(attention.size(b.limit(0))).cast("long"))
+
+
+@q(_with(B) + ", fo AS (SELECT atom_id FROM b WHERE sti >= 0 ORDER BY sti DESC, atom_id LIMIT 20) SELECT a.atom_id AS src, c.atom_id AS dst, round((0.1 * 0.99::DOUBLE + 0.1 * (1 - 0.1 * 0.99::DOUBLE)) * 0.99::DOUBLE, 6) AS s, 0.02::DOUBLE AS c FROM fo a JOIN fo c ON a.atom_id < c.atom_id")
+def e16_hebbian_cycles(spark, sf):
+    none = spark.createDataFrame([], "src string, dst string, tv_s double, tv_c double")
+    return _links(hebbian.run_cycles(none, attention.focus(views.bank(spark, sf), most=20), 2))
+
+
+@q("SELECT 1000::BIGINT AS n, true AS uniform, true AS bits, 499500::BIGINT AS permutation, true AS poisson, true AS repeated")
+def x21_random(spark, sf):
+    """What seeded draws must have whatever their values: bounds, a whole permutation, the same again."""
+    u, b, p, k = (tensor.random(spark, 1000, *a, seed=3, **kw) for a, kw in ((("uniform",), {}), (("bernoulli",), {"p": 0.3}), (("randperm",), {}), (("poisson",), {"rate": 4.0})))
+    again = u.withColumnRenamed("v", "w").join(tensor.random(spark, 1000, "uniform", seed=3), "i").agg(F.bool_and(F.col("w") == F.col("v")).alias("repeated"))
+    out = u.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("v") >= 0) & (F.col("v") < 1)).alias("uniform"))
+    for t in (b.agg(F.bool_and(F.col("v").isin(0, 1)).alias("bits")), p.agg(F.sum_distinct("v").cast("long").alias("permutation")), k.agg((F.avg("v").between(3.5, 4.5) & (F.min("v") >= 0)).alias("poisson")), again):
+        out = out.crossJoin(F.broadcast(t))
+    return out
+
+
+@q("SELECT 'user:' || user_id AS atom_id, round(sum(value), 4) AS sti, count(*) AS n FROM events GROUP BY 1")
+def st3_state_by_atom(spark, sf):
+    """Attention kept in state from batch to batch: what is left is the state's last word."""
+    from graphloom.streaming import cycles
+
+    sample = load(spark, sf, "events")
+    s = cycles.read(spark, sf, sample, "events.parquet").select(views.ident("user", "user_id").alias("atom_id"), F.col("value").alias("amount"))
+    return cycles.drain(cycles.running_sti(s), "update").select("atom_id", r("sti", 4).alias("sti"), "n")

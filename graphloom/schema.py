@@ -99,6 +99,17 @@ def links(df: DataFrame, type_: str, outgoing: Sequence[Column] | Column, s=1.0,
     )
 
 
+def links_of(edges: DataFrame) -> DataFrame:
+    """Link atoms of edges (link_type, src, dst, tv_s, tv_c)."""
+    ids, type_ = F.array("src", "dst"), F.col("link_type")
+    return edges.select(F.concat(type_, F.lit("|"), F.substring(F.sha2(F.array_join(ids, ","), 256), 1, 32)).alias("atom_id"), type_.alias("type"), *_link_columns(ids), F.col("tv_s"), F.col("tv_c"), F.lit(0.0).alias("attention"))
+
+
+def _link_columns(ids: Column) -> list[Column]:
+    columns = {"is_node": F.lit(False), "name": F.lit(None).cast("string"), "outgoing": ids, "arity": F.size(ids), "embedding": F.lit(None).cast("array<float>")}
+    return [v.alias(k) for k, v in columns.items()]
+
+
 # Constructors by kind: nodes from a name, links from children's ids.
 
 

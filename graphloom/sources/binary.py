@@ -4,18 +4,22 @@ Header: magic, version (32 bits each), number of atoms (64).  An atom: type
 (32), node flag (8); a node's name length (32), name, embedding flag (8), size
 (32) and 32-bit floats; a link's arity (32) and children's places (64 each); then
 a truth flag (8), strength and confidence, attention (32-bit floats).  All
-little-endian.  One file is one stream, so this is for exchange of spaces that
-fit in a driver; Parquet is the store at scale.
+little-endian.  A large space is many files, each made and parsed in a task:
+every file holds its atoms and, again, all that they hold, and reading keeps an
+atom once.  `serialise` makes one file of a space that fits in a driver.
 """
 
 from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.kb import KnowledgeBase
+from graphloom.store import cut, ship
 
 #: Fixed values.
 MAGIC, FORMAT = 0x41545350, 1
@@ -115,14 +119,42 @@ def deserialise(spark: SparkSession, data: bytes) -> KnowledgeBase:
     return KnowledgeBase(spark.createDataFrame([tuple(r[c] for c in schema.COLUMNS) for r in rows], schema.ATOMS))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of many binary files, each parsed in its own task."""
+def to_files(kb: KnowledgeBase, atoms_a_file: int = 100_000) -> DataFrame:
+    """(file, content): the space as whole files of about so many atoms."""
+    spark = kb.spark
+    ship(spark)
+    n = max(1, -(-kb.count() // atoms_a_file))
+    held = kb.incidence().select(F.col("link_id").alias("atom_id"), "target_id").distinct()
+    front = cut(kb.atoms.select("atom_id", F.pmod(F.xxhash64("atom_id"), F.lit(n)).cast("int").alias("file")))
+    every = front
+    while True:
+        below = front.join(held, "atom_id").select(F.col("target_id").alias("atom_id"), "file").distinct()
+        front = cut(below.join(every, ["atom_id", "file"], "left_anti"))
+        if front.isEmpty():
+            break
+        every = every.unionByName(front)
+    rows = every.join(kb.atoms, "atom_id")
+
+    def made(part: pa.Table) -> pa.Table:
+        return pa.table({"file": pa.array([part.column("file")[0].as_py()], pa.int32()), "content": pa.array([dumps(part.drop_columns(["file"]).to_pylist())], pa.binary())})
+
+    return rows.groupBy("file").applyInArrow(made, "file int, content binary")
+
+
+def from_files(files: DataFrame) -> KnowledgeBase:
+    """The space of files (content), each parsed in its own task; an atom that several files hold counts once."""
+    ship(files.sparkSession)
 
     def parse(batches):
         import pandas as pd
 
         for b in batches:
-            rows = [r for content in b["content"] for r in loads(bytes(content))]
-            yield pd.DataFrame(rows, columns=schema.COLUMNS)
+            for content in b["content"]:
+                yield pd.DataFrame(loads(bytes(content)), columns=schema.COLUMNS)
+
+    return KnowledgeBase(files.select("content").mapInPandas(parse, schema.ATOMS)).add()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema.ATOMS)
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of the binary files below a path."""
+    return from_files(spark.read.format("binaryFile").load(path)).atoms

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom import schema
 from graphloom.kb import KnowledgeBase
 from graphloom.operators import attention
 from graphloom.plans.compiler import compile_pattern
 from graphloom.plans.pattern import Pattern
+from graphloom.store import checkpoint_dir
 
 
 def read(spark: SparkSession, folder: str, like: DataFrame, glob: str | None = None, files_a_batch: int = 8) -> DataFrame:
@@ -32,30 +34,42 @@ def sessions(events: DataFrame, by: list[str], gap: str = "30 minutes", late: st
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives its result as a table in the shared folder's place."""
+    """Runs a stream over all that is there and gives its result, a Parquet table in the shared folder.
+
+    Appended rows are kept batch by batch; in the complete mode every batch writes
+    the whole result to a folder of its own and the last one counts.  A batch that
+    runs again writes the same folder again.
+    """
     spark = stream.sparkSession
-    name = f"drain_{abs(hash(str(stream.schema))) % 10**8}_{len(spark.streams.active)}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
+    out = f"{checkpoint_dir(spark)}/drain-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_state").trigger(availableNow=True)
     if mode == "append":
-        import uuid
-
-        out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start(f"{out}/rows")
-        q.awaitTermination()
+        writer.format("parquet").start(f"{out}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    last = [-1]
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{number}")
+        last[0] = number
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
 
 
 def standing_pattern(atoms: DataFrame, space: KnowledgeBase, p: Pattern, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Calls back with the matches that each batch of new atoms brings; stop() ends it."""
+    """Calls back with the matches that each batch of new atoms brings, among the space and all atoms that came before; stop() ends it.
+
+    Batches are kept below `<checkpoint>/atoms`; one that runs again writes the same folder again.
+    """
+    spark = space.spark
 
     def batch(new: DataFrame, number: int) -> None:
-        grown = space.atoms.unionByName(new)
-        callback(compile_pattern(grown, p, candidates=new), number)
+        new.select(schema.COLUMNS).write.mode("overwrite").parquet(f"{checkpoint}/atoms/batch={number}")
+        came = spark.read.schema(f"{schema.ATOMS}, batch long").parquet(f"{checkpoint}/atoms").where(F.col("batch") <= number)
+        own = came.where(F.col("batch") == number).select(schema.COLUMNS)
+        callback(compile_pattern(space.atoms.unionByName(came.select(schema.COLUMNS)), p, candidates=own), number)
 
-    return atoms.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    return atoms.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/state").start()
 
 
 class AttentionStream:

@@ -275,6 +275,29 @@ def test_proofs(spark):
     assert "A -> B" in infer.render(got).first()["text"]
     assert infer.middle_terms(e, goal).first()["mid"] == "B"
     assert infer.prove(e, edges(spark, [("InheritanceLink", "A", "Q", 1.0, 1.0)])).count() == 0
+    open_ = spark.createDataFrame([("InheritanceLink", "B", None), ("InheritanceLink", None, "D"), ("InheritanceLink", None, None)], "link_type string, src string, dst string")
+    assert infer.prove(e, open_, proofs=3).count() == 2 + 2 + 3
+    told = {r["dst"]: (r["proved"], r["tv_c"]) for r in infer.can_prove(e, edges(spark, [("InheritanceLink", "A", x, 1.0, 1.0) for x in "DQ"])).collect()}
+    assert told["D"][0] and told["Q"] == (False, 0.0)
+
+
+def test_dense_proofs_end(spark):
+    """Every atom of a layer is linked to every one of the next: paths are many, proofs are few."""
+    layers = [[f"{k}{x}" for x in "abcdef"] for k in range(5)]
+    e = edges(spark, [("InheritanceLink", a, b, 0.9, 0.9) for x, y in zip(layers, layers[1:]) for a in x for b in y] + [("InheritanceLink", "0a", f"dead{k}", 0.9, 0.9) for k in range(50)])
+    got = infer.prove(e, edges(spark, [("InheritanceLink", "0a", "4f", 1.0, 1.0), ("InheritanceLink", "0a", "1b", 1.0, 1.0)]), depth=6)
+    assert {(r["dst"], r["depth"]) for r in got.collect()} == {("4f", 4), ("1b", 1)} and got.count() == 6
+
+
+def test_rules_chain(spark):
+    e = edges(spark, [("InheritanceLink", "A", "B", 0.9, 0.9), ("InheritanceLink", "B", "C", 0.9, 0.9)])
+    flip = lambda d: d.where("link_type = 'InheritanceLink'").select(F.lit("SimilarityLink").alias("link_type"), F.col("dst").alias("src"), F.col("src").alias("dst"), "tv_s", "tv_c")
+    assert {(r["src"], r["dst"], r["round"]) for r in infer.forward_chain(e, rules=[flip]).collect()} == {("A", "C", 1), ("B", "A", 1), ("C", "B", 1), ("C", "A", 2)}
+    nodes = spark.createDataFrame([("A", 0.5, 0.0), ("B", 0.5, 0.0), ("C", 0.9, 0.9)], "atom_id string, tv_s double, tv_c double")
+    made, after = infer.chain(e, nodes, 1)
+    values = {r["atom_id"]: r["tv_c"] for r in after.collect()}
+    assert made.count() == 1 and values["A"] == 0 and values["B"] > 0.1 and values["C"] == 0.9
+    assert {r["atom_id"]: r["tv_c"] for r in infer.chain(e, nodes, 3)[1].collect()}["A"] > 0.1
 
 
 def test_pipelines(spark):
@@ -301,6 +324,10 @@ def test_fill_and_pairs(spark):
     assert infer.conjunction_step(nodes, have).count() == 0
     assert near([(r["tv_s"], r["tv_c"]) for r in infer.fill(have, nodes, truth.conjunction).collect()][0], (0.56, 0.765))
     assert infer.disjunction_step(nodes, have).count() == 1
+    done = infer.Pipeline(have, nodes).conjunction().run()[0].collect()
+    assert [(r["src"], r["dst"]) for r in done] == [("B", "A")] and near((done[0]["tv_s"], done[0]["tv_c"]), (0.56, 0.765))
+    with pytest.raises(ValueError, match="candidates"):
+        infer.check_blocks(nodes, "type", 1)
 
 
 # Attention, association, time
@@ -374,7 +401,17 @@ def test_cycle(spark):
     e = cognitive.Engine(kb, b, none, spark.createDataFrame([("ConceptNode|a", 1.0)], "atom_id string, priority double"))
     e.register("all", inheritance(X, Y), lambda d: seen.append(d.count()))
     found = e.run(2)
-    assert len(found) == 2 and seen == [2, 2] and found[0].count() == 1 and e.hebbian.count() == 3
+    assert len(found) == 2 and seen == [2, 3] and found[0].count() == 1 and found[1].count() == 0 and e.hebbian.count() == 3
+    # The conclusion is known, the goal is there and gone, times are logged.
+    assert e.kb.count() == kb.count() + 1 and e.goals.count() == 0
+    assert {(r["kind"], r["n"]) for r in e.times.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {("created", 1), ("accessed", 6)}
+    assert (e.metrics["cycles"], e.metrics["patterns_matched"], e.metrics["new_atoms"], e.metrics["goals_proved"]) == (2, 5, 1, 1)
+    goals = spark.createDataFrame([("g1", 2.0, "InheritanceLink", *(schema.node_key("ConceptNode", x) for x in "ac")), ("g2", 1.0, "InheritanceLink", *(schema.node_key("ConceptNode", x) for x in "ca"))], "atom_id string, priority double, link_type string, src string, dst string")
+    calm = cognitive.Engine(kb, b, none, goals, mode="REACTIVE")
+    assert calm.cycle().count() == 0 and calm.kb.count() == kb.count()
+    assert [r["atom_id"] for r in calm.goals.collect()] == ["g2"]
+    how, rows_ = cognitive.answer(kb, inheritance(concept("a"), concept("c")), b.select("atom_id"))
+    assert how == "proof" and rows_.first()["depth"] == 2
     e.stop()
     assert e.run(1) == []
 
@@ -545,6 +582,8 @@ def test_binary_round_trip(spark, tmp_path):
     assert rows(binary.deserialise(spark, data)) == rows(kb)
     (tmp_path / "a.bin").write_bytes(data)
     assert binary.read_files(spark, str(tmp_path)).count() == kb.count()
+    parts = binary.to_files(kb, 2)
+    assert parts.count() > 1 and rows(binary.from_files(parts)) == rows(kb)
     for bad in (data[:-1], b"XXXX" + data[4:], data[:20]):
         with pytest.raises(ValueError):
             binary.loads(bad)

@@ -76,22 +76,22 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     if _open:
-        _open[-1].append(out)
+        _open[-1][path] = out
     return out
 
 
 #: Tables made since each open `scratch` began.
-_open: list[list[DataFrame]] = []
+_open: list[dict[str, DataFrame]] = []
 
 
 @contextlib.contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """Deletes the tables that are materialised inside, but for those taken off the list."""
-    _open.append([])
+def scratch() -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes the tables that are materialised inside, but for those that it is told to keep."""
+    _open.append({})
     try:
-        yield _open[-1]
+        yield lambda kept: _open[-1].pop(kept._graphloom_path)
     finally:
-        discard(*_open.pop())
+        discard(*_open.pop().values())
 
 
 def discard(*tables: DataFrame) -> None:

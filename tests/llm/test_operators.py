@@ -528,7 +528,7 @@ def naive_units(text, long=14, window=8):
 
     words = [(m.start(), m.end(), m[0].lower() if m[0].isascii() else m[0].translate({k: k + 32 for k in range(65, 91)})) for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
     close = [w[:-1] if len(w) > 1 and w[-1] in "\"')]}" else w for _, _, w in words]
-    gap = [text[a[1] : b[0]] for a, b in zip(words, words[1:])]
+    gap = [text[a[1] : b[0]] for a, b in zip(words, words[1:])] + [""]
 
     def split(part, ends):
         out = [[]]

@@ -12,7 +12,10 @@ from graphloom import schema
 
 
 class KnowledgeBase:
-    """Atoms, and tables about them.  Methods return DataFrames or a new base; nothing runs before an action."""
+    """Atoms, and tables about them.  Methods return DataFrames or a new base; nothing runs before an action.
+
+    Atoms of a base have distinct ids: it is made of distinct atoms, or by `empty(spark).add(...)`.
+    """
 
     def __init__(self, atoms: DataFrame, attention: DataFrame | None = None, temporal: DataFrame | None = None, atom_events: DataFrame | None = None):
         self.atoms = atoms

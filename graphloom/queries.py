@@ -167,7 +167,7 @@ def s16_topological_levels(spark, sf):
     """Levels of a nested space: parts and orders, lists of them, evaluations of the lists."""
     rows = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     o, p = views.concept("order", "l_orderkey"), views.concept("part", "l_partkey")
-    kb = KnowledgeBase(schema.concept(rows, views.ident("order", "l_orderkey"))).add(schema.concept(rows, views.ident("part", "l_partkey")), schema.evaluation(rows, "contains", o, p))
+    kb = KnowledgeBase.empty(spark).add(schema.concept(rows, views.ident("order", "l_orderkey")), schema.concept(rows, views.ident("part", "l_partkey")), schema.evaluation(rows, "contains", o, p))
     return kb.levels().join(kb.atoms.select("atom_id", "type"), "atom_id").groupBy("level", "type").agg(F.count(F.lit(1)).alias("n"))
 
 

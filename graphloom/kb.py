@@ -107,11 +107,15 @@ class KnowledgeBase:
 
     def levels(self, most: int = 16) -> DataFrame:
         """(atom_id, level): children before parents; a node is 0, a link one above its highest child."""
-        level = self.atoms.where("is_node").select("atom_id", F.lit(0).alias("level"))
-        inc = self.incidence().select("link_id", "arity", "target_id")
+        from graphloom.store import cut
+
+        # Each level meets only the incidences of links that have none yet, cut once.
+        level = cut(self.atoms.where("is_node").select("atom_id", F.lit(0).alias("level")))
+        inc = cut(self.incidence().select("link_id", "arity", "target_id"))
         for k in range(1, most):
-            done = inc.join(level.withColumnRenamed("atom_id", "target_id"), "target_id").groupBy("link_id").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("m"), F.first("arity").alias("arity"))
-            new = done.where((F.col("n") == F.col("arity")) & (F.col("m") == k - 1)).select(F.col("link_id").alias("atom_id"), F.lit(k).alias("level")).join(level, "atom_id", "left_anti")
+            waiting = inc.join(level.select(F.col("atom_id").alias("link_id")), "link_id", "left_anti")
+            done = waiting.join(level.withColumnRenamed("atom_id", "target_id"), "target_id").groupBy("link_id").agg(F.count(F.lit(1)).alias("n"), F.first("arity").alias("arity"))
+            new = cut(done.where(F.col("n") == F.col("arity")).select(F.col("link_id").alias("atom_id"), F.lit(k).alias("level")))
             if new.isEmpty():
                 break
             level = level.unionByName(new)

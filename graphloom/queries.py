@@ -379,18 +379,19 @@ def j6_r4_abduction(spark, sf):
     return infer.abduce(n, views.edge_table(spark, sf)).select(F.col("atom_id").alias("src"), r("tv_s").alias("s"), r("tv_c").alias("c"))
 
 
-@q("SELECT a.n_regionkey AS block, 'nation:' || a.n_nationkey AS a, 'nation:' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND 'nation:' || a.n_nationkey < 'nation:' || b.n_nationkey")
+@q("SELECT a.doc_id // 20 AS block, 'doc:' || a.doc_id AS a, 'doc:' || b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id // 20 = b.doc_id // 20 AND 'doc:' || a.doc_id < 'doc:' || b.doc_id")
 def j7_pairs_in_block(spark, sf):
-    n = load(spark, sf, "nation").select(views.ident("nation", "n_nationkey").alias("atom_id"), F.col("n_regionkey").alias("block"))
-    return attention.co_active_pairs(n, "block").select("block", F.col("src").alias("a"), F.col("dst").alias("b"))
+    d = load(spark, sf, "documents").select(views.ident("doc", "doc_id").alias("atom_id"), F.floor(F.col("doc_id") / 20).alias("block"))
+    return attention.co_active_pairs(d, "block").select("block", F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-@q("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey ANTI JOIN (SELECT n_nationkey AS x, n_nationkey + 5 AS y FROM nation) k ON k.x = a.n_nationkey AND k.y = b.n_nationkey")
+@q("SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id // 20 = b.doc_id // 20 AND a.doc_id <> b.doc_id ANTI JOIN (SELECT doc_id AS x, doc_id + 5 AS y FROM documents) k ON k.x = a.doc_id AND k.y = b.doc_id")
 def j8_j9_ordered_pairs_anti(spark, sf):
-    n = load(spark, sf, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("a"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    have = n.select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 5).alias("b"))
-    return a.join(b, "n_regionkey").where("a != b").join(have, ["a", "b"], "left_anti").select("a", "b")
+    """Ordered pairs of a block that no link joins yet."""
+    d = load(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 20).alias("block"))
+    a, b = d.select(F.col("doc_id").alias("a"), "block"), d.select(F.col("doc_id").alias("b"), "block")
+    have = d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 5).alias("b"))
+    return a.join(b, "block").where("a != b").join(have, ["a", "b"], "left_anti").select("a", "b")
 
 
 @q("SELECT 'customer:' || c_custkey AS src, 'region:' || n_regionkey AS dst, 'nation:' || n_nationkey AS mid FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -1085,12 +1086,16 @@ def x_model_embedding(spark, sf):
     return load(spark, sf, "benchmark").select("item_id", models.embed("hashed-bag", "text").alias("embedding"))
 
 
-@q()
+PIECES = """w AS (SELECT lower(t) AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS t FROM benchmark)),
+v AS (SELECT token, 156 + row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM (SELECT token, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, token LIMIT 150) WHERE length(token) > 1 OR NOT regexp_matches(token, '[a-z]'))"""
+
+
+@q("WITH " + PIECES + " SELECT token, count(*) AS n, coalesce(any_value(v.id), CASE WHEN length(token) = 1 AND token BETWEEN 'a' AND 'z' THEN 104 + 2 * (ascii(token) - 97) ELSE 100 END)::INT AS id FROM w LEFT JOIN v USING (token) GROUP BY token")
 def x12_vocabulary_lookup(spark, sf):
-    v = _pieces(spark, sf)
+    """Ids of tokens by a join with the vocabulary."""
+    v = spark.createDataFrame(list(_pieces(spark, sf).ids.items()), "token string, id int")
     t = load(spark, sf, "benchmark").select(F.explode(text.tokens(F.lower("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    known = F.create_map(*(F.lit(x) for k in v.ids.items() for x in k))
-    return t.select("token", "n", F.coalesce(F.try_element_at(known, F.col("token")), F.lit(tokenizer.UNK)).alias("id"))
+    return t.join(v, "token", "left").select("token", "n", F.coalesce("id", F.lit(tokenizer.UNK)).alias("id"))
 
 
 # Scenes: lineitem rows as boxes.

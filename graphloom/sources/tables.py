@@ -16,9 +16,10 @@ from graphloom.kb import KnowledgeBase
 TABLES = ("attention", "temporal", "atom_events")
 
 
-def write(kb: KnowledgeBase, path: str, mode: str = "overwrite") -> None:
-    """Scans by type read that type's files alone, and a point lookup the pages whose range of ids holds it."""
-    kb.atoms.repartition("atom_id").sortWithinPartitions("type", "atom_id").write.mode(mode).partitionBy("type").parquet(f"{path}/atoms")
+def write(kb: KnowledgeBase, path: str, mode: str = "overwrite", clustered: bool = True) -> None:
+    """Scans by type read that type's files alone; clustered, a point lookup reads the pages whose range of ids holds it."""
+    atoms = kb.atoms.repartition("atom_id").sortWithinPartitions("type", "atom_id") if clustered else kb.atoms
+    atoms.write.mode(mode).partitionBy("type").parquet(f"{path}/atoms")
     for name in TABLES:
         if (df := getattr(kb, name)) is not None:
             df.write.mode(mode).parquet(f"{path}/{name}")

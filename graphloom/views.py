@@ -59,12 +59,12 @@ e AS (
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> KnowledgeBase:
+def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame], clustered: bool = False) -> KnowledgeBase:
     """The base of these atoms, written to the shared folder at its first use."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         path = f"{store.checkpoint_dir(spark)}/kb-{name}-{uuid.uuid4().hex}"
-        tables.write(KnowledgeBase(make()), path)
+        tables.write(KnowledgeBase(make()), path, clustered=clustered)
         _STORED[key] = path
     return tables.read(spark, _STORED[key])
 
@@ -82,7 +82,7 @@ def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
 
 def taxonomy(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Inheritance: nations in regions, customers and suppliers in nations, parts in brands and types."""
-    return stored(spark, sf, "taxonomy", lambda: _taxonomy(spark, sf))
+    return stored(spark, sf, "taxonomy", lambda: _taxonomy(spark, sf), clustered=True)
 
 
 def edge_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,13 +113,14 @@ def orders(spark: SparkSession, sf: str) -> KnowledgeBase:
 
 
 def trade(spark: SparkSession, sf: str) -> KnowledgeBase:
-    """Taxonomy with orders."""
-    return stored(spark, sf, "trade", lambda: _taxonomy(spark, sf).unionByName(placed(spark, sf)))
+    """Taxonomy with orders; a scan of a type that one of them lacks reads none of its files."""
+    return KnowledgeBase(taxonomy(spark, sf).atoms.unionByName(orders(spark, sf).atoms))
 
 
 def market(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Taxonomy with orders and their parts."""
-    return stored(spark, sf, "market", lambda: _taxonomy(spark, sf).unionByName(placed(spark, sf)).unionByName(contains(spark, sf)))
+    contents = stored(spark, sf, "contents", lambda: contains(spark, sf))
+    return KnowledgeBase(trade(spark, sf).atoms.unionByName(contents.atoms))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -1405,4 +1405,4 @@ def st3_state_by_atom(spark, sf):
 
     sample = load(spark, sf, "events")
     s = cycles.read(spark, sf, sample, "events.parquet").select(views.ident("user", "user_id").alias("atom_id"), F.col("value").alias("amount"))
-    return cycles.drain(cycles.running_sti(s), "update").select("atom_id", r("sti", 4).alias("sti"), "n")
+    return cycles.drain(cycles.running_sti(s), "update", ("atom_id",)).select("atom_id", r("sti", 4).alias("sti"), "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,12 @@ def sessions(events: DataFrame, by: list[str], gap: str = "30 minutes", late: st
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), *by, "n")
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over all that is there and gives its result, a Parquet table in the shared folder.
 
     Appended rows are kept batch by batch; in the complete mode every batch writes
-    the whole result to a folder of its own and the last one counts.  A batch that
-    runs again writes the same folder again.
+    the whole result and the last one counts; in the update mode, of the rows of a
+    key those of its last batch.  A batch that runs again writes its folder again.
     """
     spark = stream.sparkSession
     out = f"{checkpoint_dir(spark)}/drain-{uuid.uuid4().hex}"
@@ -46,14 +47,20 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     if mode == "append":
         writer.format("parquet").start(f"{out}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-    last = [-1]
+    seen: list[int] = []
 
     def write(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/{number}")
-        last[0] = number
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch-{number}")
+        seen.append(number)
 
     writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{out}/rows/batch-{max(seen)}")
+    every = reduce(DataFrame.unionByName, [spark.read.schema(stream.schema).parquet(f"{out}/rows/batch-{n}").withColumn("_n", F.lit(n)) for n in sorted(set(seen))])
+    last = every.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    return every.join(last, [*keys, "_n"]).drop("_n")
 
 
 def standing_pattern(atoms: DataFrame, space: KnowledgeBase, p: Pattern, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

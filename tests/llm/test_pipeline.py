@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 from graphloom.llm import packing, queries, secrets
 from graphloom.llm.common import materialise
@@ -37,6 +39,16 @@ def test_stages(spark, sf):
 
 
 def test_stages_on_odd_rows(spark, sf):
-    odd = spark.createDataFrame(ODD, DOCS)
-    stages(spark, odd, sf)
-    stages(spark, odd.where("false"), sf)
+    """Rows of which quality keeps some: nulls, repeated and long texts, clashing columns."""
+    prose = " ".join(f"word{k}" + "." * (k % 9 == 8) for k in range(120))
+    rows = [(*r, "clash") for r in [*ODD, (20, prose, "en", "a", 7), (20, prose, "en", "a", 7), (None, prose, None, None, None), (21, prose + " token = aB3dE5gH7jK9mN2q", "en", "a", 1)]]
+    odd = spark.createDataFrame(rows, DOCS + ", h string")
+    raw, good, single, cut, clean, packed = stages(spark, odd, sf)
+    assert all(d.columns == odd.columns for d in (good, single, cut, clean))
+    before = rows_of(odd)
+    assert Counter(rows_of(good)) <= Counter((i, t) for i, t in before if not naive_quality(t)[-1])
+    assert [i for i, _ in rows_of(single)] == [20]
+    assert rows_of(clean) == rows_of(cut) == [(20, prose)]
+    assert {r["doc_id"] for r in packed.collect()} == {20}
+    empty = stages(spark, odd.where("false"), sf)
+    assert all(d.count() == 0 for d in empty) and all(d.columns == odd.columns for d in empty[:-1])

@@ -5,9 +5,9 @@ backoff: below a class's bigrams lie its unigrams, and below these the
 continuation counts of both classes together, so an expression that is rare in
 either class is smoothed by what all text says of it.  A document is compared by
 its log-likelihood a token under the one model less that under the other.
-Beside this stand the tokens' ratios as far as documents support them: their
-mean, and the mean of the `PEAKS` highest, as a few words can make a long text
-toxic.  A logistic curve, fitted on labelled rows that the counts don't hold,
+Beside this stand the ratios of the same two models over counts of documents, as
+far as documents support them: their mean, and the mean of the `PEAKS` highest,
+as a few words can make a long text toxic and a text may repeat a word often.  A logistic curve, fitted on labelled rows that the counts don't hold,
 turns these and the length into a score.
 
 The models come from a bounded sample of labelled texts: of each class the
@@ -67,12 +67,19 @@ class Model(NamedTuple):
 
     words: np.ndarray
     unigram: np.ndarray  # P_c(w), a row for each word and one for unknown words
-    support: np.ndarray  # n / (n + HALF) of the documents with the word
+    support: np.ndarray  # n / (n + HALF) of the word's counts
     total: np.ndarray  # n_c(v .)
     types: np.ndarray  # T_c(v .)
     pairs: np.ndarray
     seen: np.ndarray  # n_c(v, w)
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places of words; -1 for unknown ones."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        spot = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[spot] == h, spot, -1)
+
     def ratios(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P_toxic - log P_ordinary of each token, and the same as far as it is supported; `first` marks tokens without one before."""
         lower = self.unigram[at]
@@ -97,11 +104,11 @@ class Model(NamedTuple):
 
 
 def build(words: tuple, pairs: tuple) -> Model:
-    """Model of (hash, ordinary, toxic, documents, continuations) and (first, second, ordinary, toxic) columns."""
-    h, o, t, d, c = (np.asarray(x) for x in words)
+    """Model of (hash, ordinary, toxic, continuations) and (first, second, ordinary, toxic) columns."""
+    h, o, t, c = (np.asarray(x) for x in words)
     h = h.astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    h, count, docs, cont = h[order], np.stack([o, t], 1)[order].astype(float), d[order].astype(float), c[order].astype(float)
+    h, count, cont = h[order], np.stack([o, t], 1)[order].astype(float), c[order].astype(float)
     # One unknown word stands for all: it has half a continuation.
     shared = np.append(cont + 0.5, 0.5) / (cont.sum() + 0.5 * (len(h) + 1))
     n, kinds = np.maximum(count.sum(0), 1), np.maximum((count > 0).sum(0), 1)
@@ -117,23 +124,25 @@ def build(words: tuple, pairs: tuple) -> Model:
     total, types = np.zeros((2, len(h) + 1, 2))
     np.add.at(total, a, seen)
     np.add.at(types, a, (seen > 0).astype(float))
-    docs = np.append(docs, 0)
-    return Model(h, unigram, docs / (docs + HALF), total, types, key, seen)
+    pooled = np.append(count.sum(1), 0)
+    return Model(h, unigram, pooled / (pooled + HALF), total, types, key, seen)
+
 
+def features(models: tuple[Model, Model], texts: list[list[str]]) -> np.ndarray:
+    """Per text: difference of the models' log-likelihoods a token, mean supported ratio, mean of its peaks, log length.
 
-def features(m: Model, texts: list[list[str]]) -> np.ndarray:
-    """Per text: difference of the models' log-likelihoods a token, mean supported ratio, mean of its peaks, log length."""
+    The models of both classes are over counts of tokens and of documents.
+    """
     ids = Ids()
     flat = np.fromiter((ids[w] for ws in texts for w in ws), np.int64)
     out = np.zeros((len(texts), 4))
     if not len(flat):
         return out
     h = word_hashes(list(ids))
-    spot = np.minimum(np.searchsorted(m.words, h), max(len(m.words) - 1, 0))
-    at = np.where(m.words[spot] == h, spot, -1) if len(m.words) else np.full(len(h), -1)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     end = np.cumsum(size)
-    whole, supported = m.ratios(at[flat], (end - size)[size > 0])
+    first = (end - size)[size > 0]
+    whole, supported = (m.ratios(m.places(h)[flat], first)[k] for k, m in enumerate(models))
     # Sums in the order of tokens, so that a text's don't depend on the texts beside it.
     text = np.repeat(np.arange(len(texts)), size)
     some = np.maximum(size, 1)
@@ -181,16 +190,16 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
 
 
 def count(batches):
-    """(w, v, toxic, n, d): counts of words (v null) and bigrams, and the documents with a word."""
-    one, docs, two, ids = Counter(), Counter(), Counter(), Ids()
+    """(w, v, toxic, n, d): counts of words (v null) and bigrams, and the documents with them."""
+    one, two, docs, both, ids = Counter(), Counter(), Counter(), Counter(), Ids()
 
     def out():
         h = word_hashes(list(ids)).view(np.int64)
         if one:
             yield [int(h[w]) for w, _ in one], [None] * len(one), [t for _, t in one], list(one.values()), [docs[k] for k in one]
         if two:
-            yield [int(h[w]) for _, w, _ in two], [int(h[v]) for v, _, _ in two], [t for _, _, t in two], list(two.values()), [0] * len(two)
-        for c in (one, docs, two, ids):
+            yield [int(h[w]) for _, w, _ in two], [int(h[v]) for v, _, _ in two], [t for _, _, t in two], list(two.values()), [both[k] for k in two]
+        for c in (one, two, docs, both, ids):
             c.clear()
 
     for b in batches:
@@ -199,6 +208,7 @@ def count(batches):
             one.update((w, toxic) for w in at)
             docs.update((w, toxic) for w in set(at))
             two.update((v, w, toxic) for v, w in zip(at, at[1:]))
+            both.update((v, w, toxic) for v, w in set(zip(at, at[1:])))
             if len(one) + len(two) > HELD:
                 yield from out()
     yield from out()
@@ -210,14 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taught, sizes = sampled(docs, labels, id_col, text_col, sample)
     if not (sizes.get(0) and sizes.get(1)):
         return None, float(sizes.get(1, 0) > 0)
-    of = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
+    of = lambda c, n: F.sum(F.when(F.col("toxic") == c, F.col(n)).otherwise(0))
     counted = map_rows(taught.where(~F.col("held")).select("text", "toxic"), "w long, v long, toxic int, n long, d long", count, 512)
-    table = materialise(counted.groupBy("v", "w").agg(of(0).alias("o"), of(1).alias("t"), F.sum("d").alias("d")), "counts")
+    table = materialise(counted.groupBy("v", "w").agg(*(of(c, n).alias(f"{n}{c}") for n in "nd" for c in (0, 1))), "counts")
     cont = table.where("v IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    one = local(table.where(f"v IS NULL AND o + t >= {LEAST}").join(cont, "w", "left").select("w", "o", "t", "d", F.coalesce("c", F.lit(0)).alias("c")))
-    two = local(table.where(f"v IS NOT NULL AND o + t >= {LEAST}").select("v", "w", "o", "t"))
-    model = build(tuple(one[c] for c in ("w", "o", "t", "d", "c")), tuple(two[c] for c in ("v", "w", "o", "t")))
-    held = spark.sparkContext.broadcast(model)
+    model = []
+    for n in "nd":
+        own = table.select("v", "w", F.col(f"{n}0").alias("o"), F.col(f"{n}1").alias("t")).where(f"o + t >= {LEAST}")
+        one = local(own.where("v IS NULL").join(cont, "w", "left").select("w", "o", "t", F.coalesce("c", F.lit(0)).alias("c")))
+        two = local(own.where("v IS NOT NULL"))
+        model.append(build(tuple(one[c] for c in "wotc"), tuple(two[c] for c in "vwot")))
+    held = spark.sparkContext.broadcast(tuple(model))
 
     def measure(batches):
         for b in batches:
